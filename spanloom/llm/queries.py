@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, sharding
+from . import chat, huffman, mixing, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; only queries choose one, operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archives(warc.scan_index(files), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "</s>[INST] ok [/INST]"
@@ -24,6 +36,15 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, lengths = huffman.write_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=0)
+    return huffman.read_files(spark, files, lengths)
+
+
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit_quality_rules(docs, table(spark, sf_dir, "labels"))
@@ -34,4 +55,4 @@ def op10_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_formatting, op5_source_mixing, op9_quality_rules, op10_byte_balanced_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_chat_formatting, op5_source_mixing, op6_huffman_tokens, op8_bm25_packing, op9_quality_rules, op10_byte_balanced_shards)}
