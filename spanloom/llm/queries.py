@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, mixing, neardup, packing, quality, sharding, warc
+from . import chat, huffman, mixing, neardup, packing, quality, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.nest_turns(rows.unionByName(more))))
 
 
+def op3_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -59,4 +63,4 @@ def op10_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_chat_formatting, op4_setsketch_near_duplicates, op5_source_mixing, op6_huffman_tokens, op8_bm25_packing, op9_quality_rules, op10_byte_balanced_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_chat_formatting, op3_induced_suffix_dedup, op4_setsketch_near_duplicates, op5_source_mixing, op6_huffman_tokens, op8_bm25_packing, op9_quality_rules, op10_byte_balanced_shards)}
