@@ -2,9 +2,11 @@
 
 A document is its set of distinct 5-word shingles, told apart by 64-bit hashes. Documents with one set are
 one class; only a class's representative is compared. Representatives that share a band of registers are
-candidates. Each bucket first yields a star around its least member, so its cost is linear; after those
-links are verified and joined, only buckets whose members still lie in different components are compared
-in full, pair by pair, on registers and then on sets.
+candidates. Each bucket first yields a star around its least member, so its cost is linear. After those
+links are verified and joined, only buckets whose members still lie in different components matter; while
+they are large, they yield stars around other members, and in the end all their pairs between different
+components are compared, on registers and then on sets. So no link is left out, and a large group of
+copies, once joined, costs no pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .tokens import _LOWER, _SPACE, flat, steps
 WORDS, BANDS, ROWS = 5, 40, 6
 #: SetSketch parameters: base, rate and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65535
+#: Rounds of stars at most, and pairs for each row of the mixed buckets below which all pairs are compared.
+ROUNDS, FEW = 8, 4
 #: Keys at or above stand for rows without a doc_id.
 NO_ID = 1 << 62
 
@@ -129,7 +133,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(1))
-            for i, j in steps(offsets, 1 << 21):
+            for i, j in steps(offsets, 1 << 19):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.array([len(s) for s in sets], np.int64)
                 d1 = np.array([_mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -193,7 +197,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, chunk: int = 500)
         for b in batches:
             data, offsets = flat(b.column(3))
             us, ss, vs = (b.column(k).to_pylist() for k in range(3))
-            for i, j in steps(offsets, 1 << 21):
+            for i, j in steps(offsets, 1 << 19):
                 got = []
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for k, x in zip(range(i, j), sets, strict=True):
@@ -213,7 +217,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, chunk: int = 500)
 
 
 def crossing(rows: DataFrame, percent: int, least: float, block: int = 512) -> DataFrame:
-    """Likely pairs between different components in one bucket, from rows (band, node, n, comp, regs).
+    """Likely pairs between different components in one bucket, from rows (band, node, n, comp, regs), each
+    pair in the first band that it shares.
 
     A bucket is split into blocks of about `block` rows and each pair of blocks is one group, so no task
     holds more than two blocks; all pairs of the bucket meet in some group.
@@ -226,11 +231,14 @@ def crossing(rows: DataFrame, percent: int, least: float, block: int = 512) -> D
     def pairs(group: dict) -> pa.RecordBatch:
         n, comp, node, regs = (np.array(group[k]) for k in ("n", "comp", "node", "regs"))
         mine, same = np.array(group["mine"]), group["key"][1] == group["key"][2]
+        index = int(np.flatnonzero(band_keys(regs[:1])[0] == group["key"][0])[0])
         us, vs = [], []
         for k in range(len(n)):
             near = (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (node > node[k]) & (same | (mine != mine[k]))
             near = np.flatnonzero(near)
-            near = near[(regs[near] == regs[k]).mean(1) >= least - 0.05] if len(near) else near
+            if len(near):
+                same_band = (regs[near] == regs[k]).reshape(len(near), BANDS, ROWS).all(2)
+                near = near[same_band.argmax(1) == index]
             if len(near):
                 fine = joint_estimate(np.broadcast_to(regs[k], (len(near), regs.shape[1])), regs[near], np.full(len(near), n[k]), n[near]) >= least
                 us += [node[k]] * int(fine.sum())
@@ -254,7 +262,14 @@ def crossing(rows: DataFrame, percent: int, least: float, block: int = 512) -> D
             yield pairs(group)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "u long, v long")
+
+
+def apart(multi: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (band, node, n, comp) of the buckets that hold more than one component."""
+    placed = multi.select("band", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("band")
+    return placed.join(mixed, "band", "left_semi").select("band", "node", "n", "comp")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -282,16 +297,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = rows.join(multi.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("node"), "text")
     texts = store(texts, "texts", "zstd")
     fits = 100 * F.least("n", F.col("lead.n")) >= percent * F.greatest("n", F.col("lead.n"))
-    stars = store(multi.filter((F.col("node") != F.col("lead.node")) & fits).select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    links = store(verified(store(likely(stars, reps, least), "likely"), texts, percent), "links")
-    comps = components(links)
-    placed = multi.select("band", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("band")
-    rest = placed.join(mixed, "band", "left_semi").join(reps.select("node", "regs"), "node").select("band", "node", "n", "comp", "regs")
-    more = store(crossing(rest, percent, least), "crossing").join(stars, ["u", "v"], "left_anti")
-    more = store(more, "unseen")
-    if more.limit(1).count():
-        comps = components(links.unionByName(verified(more, texts, percent)))
+    fits = lambda m: 100 * F.least("n", m) >= percent * F.greatest("n", m)
+    pair = (F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
+    tested = store(multi.filter((F.col("node") != F.col("lead.node")) & fits(F.col("lead.n"))).select(*pair).distinct(), "stars")
+    links = store(verified(store(likely(tested, reps, least), "likely"), texts, percent), "links")
+    for turn in range(ROUNDS + 1):
+        comps = components(links)
+        rest = store(apart(multi, comps), "apart")
+        size = rest.groupBy("band").count().agg(F.sum("count").alias("rows"), F.sum(F.expr("count * (count - 1) / 2")).alias("pairs")).first()
+        if not size["rows"]:
+            break
+        last = turn == ROUNDS or size["pairs"] <= FEW * size["rows"]
+        if last:
+            pairs = crossing(rest.join(reps.select("node", "regs"), "node").select("band", "node", "n", "comp", "regs"), percent, least)
+        else:
+            lead = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "n", "comp")).alias("lead"))
+            pairs = rest.join(lead, "band").filter((F.col("comp") != F.col("lead.comp")) & fits(F.col("lead.n"))).select(*pair).distinct()
+        pairs = store(store(pairs, "pairs").join(tested, ["u", "v"], "left_anti"), "untested")
+        tested = tested.unionByName(pairs)
+        found = store(verified(pairs if last else store(likely(pairs, reps, least), "likely"), texts, percent), "links")
+        links = links.unionByName(found)
+        if last:
+            comps = components(links)
+            break
     own = marks.join(classes, ["d1", "d2", "n"], "left").drop("d1", "d2", "regs")
     own = own.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node", "key"))
     same = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, mixing, neardup, packing, quality, repeats, sharding, warc
+from . import ann, chat, huffman, mixing, neardup, packing, quality, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_files(spark, files, lengths)
 
 
+def op7_ivf_pq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -63,4 +67,4 @@ def op10_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_chat_formatting, op3_induced_suffix_dedup, op4_setsketch_near_duplicates, op5_source_mixing, op6_huffman_tokens, op8_bm25_packing, op9_quality_rules, op10_byte_balanced_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_chat_formatting, op3_induced_suffix_dedup, op4_setsketch_near_duplicates, op5_source_mixing, op6_huffman_tokens, op7_ivf_pq_neighbours, op8_bm25_packing, op9_quality_rules, op10_byte_balanced_shards)}
