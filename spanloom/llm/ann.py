@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import only, store
 
 #: Rows of a list that one task holds, and queries it scores at a time.
-BLOCK, AT_ONCE = 4096, 64
+BLOCK, AT_ONCE = 1024, 64
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class Settings:
     sample_rows: int = 20_000
     recall: float = 0.97
     sample_queries: int = 128
-    shortlist: int = 120
+    shortlist: int = 200
     seed: int = 5
 
 
@@ -102,22 +102,27 @@ def build(vectors: DataFrame, settings: Settings = Settings()) -> tuple[DataFram
     x = np.concatenate([_matrix(c) for c in sample.column(0).chunks])
     lists = settings.lists or max(1, min(settings.most_lists, round(norms["n"] ** 0.5 / 2)))
     centroids = _kmeans(augment(x, norm), lists, rng)
-    rest = _split(x - centroids[_nearest(augment(x, norm), centroids), :-1], settings.parts)
+    # residuals are quantised in units of their list's spread, so that a list of near copies is told apart too
+    own = _nearest(augment(x, norm), centroids)
+    rest = x - centroids[own, :-1]
+    power, count = np.bincount(own, (rest**2).sum(1), len(centroids)), np.bincount(own, minlength=len(centroids))
+    spread = np.sqrt(np.where(power > 0, power / np.maximum(count, 1), max(power.sum() / max(count.sum(), 1), 1e-12)))
+    rest = _split(rest / spread[own, None], settings.parts)
     books = np.zeros((settings.parts, settings.codes, rest.shape[2]))
     for p in range(settings.parts):
         found = _kmeans(rest[:, p], settings.codes, rng, 8)
         books[p, : len(found)], books[p, len(found) :] = found, found[0]
-    shared = vectors.sparkSession.sparkContext.broadcast((centroids, books, norm))
+    shared = vectors.sparkSession.sparkContext.broadcast((centroids, books, norm, spread))
     parts = settings.parts
 
     def run(batches):
-        centroids, books, norm = shared.value
+        centroids, books, norm, spread = shared.value
         schema = pa.schema([("vec_id", pa.int64()), ("list", pa.int32()), ("codes", pa.binary()), ("v", pa.list_(pa.float64()))])
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1))
                 own = _nearest(augment(x, norm), centroids)
-                rest = _split(x - centroids[own, :-1], parts)
+                rest = _split((x - centroids[own, :-1]) / spread[own, None], parts)
                 codes = np.stack([_nearest(rest[:, p], books[p]) for p in range(parts)], 1).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], schema=schema)
 

@@ -284,8 +284,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows alone has a null component_id, each of its distinct texts' least key being kept; an empty table
     gives no rows; other columns are ignored.
     """
+    docs = only(docs, {"doc_id": "long", "text": "string"})
+    own, real = _grouped(docs.select(_key(docs), "text"), percent), lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return own.select(real("key").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """`docs`, all its columns, less all but one row of each group of near_duplicates (the one of least id)."""
     rows = only(docs, {"doc_id": "long", "text": "string"})
-    rows = rows.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))).alias("key"), "text")
+    kept = _grouped(rows.select(_key(rows), "text"), percent).filter("key = component").select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", _key(docs)).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
+def _key(docs: DataFrame):
+    """doc_id, or for rows without one a number from their text that is above all ids."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(NO_ID - 1))).alias("key")
+
+
+def _grouped(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, n, component) for each of the rows (key, text)."""
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
     marks = store(sketches(rows), "sketches", "zstd")
     classes = store(marks.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("node")), "classes")
@@ -326,5 +343,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if same.filter("low < high").limit(1).count():  # one doc_id with several texts joins their components
         joined = components(same.filter("low < high").select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(own.select(F.col("key").alias("u"), F.col("component").alias("v"))))
         own = own.drop("component").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return own.select(real("key").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    return own.select("key", "n", "component")

@@ -218,6 +218,56 @@ def _spans(found: list[dict] | None, length: int) -> np.ndarray:
     return np.stack((spans[first, 0], far[np.append(first[1:] - 1, len(spans) - 1)]), 1)
 
 
+def _found_spans(rows: DataFrame, length: int) -> DataFrame:
+    """(id, th, found): where each of the rows (id, th, text) has windows that repeat."""
+    marks = store(anchors(rows, length), "anchors", "zstd")
+    groups = marks.groupBy("fp", "c").agg(F.count(F.lit(1)).alias("m"), *(F.first(k).alias(k) for k in ("id", "th", "at", "starts")))
+    shared = groups.groupBy("fp").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2").drop("total")
+    wanted = store(groups.join(shared, "fp"), "wanted", "zstd")
+    texts = store(contexts(rows, wanted, length).join(wanted.filter(F.col("kinds") > GIANT).select(F.col("fp").alias("big")).distinct(), F.col("fp") == F.col("big"), "left"), "contexts", "zstd")
+    found = sorted_shards(texts.filter("big is null").drop("big"), length)
+    if wanted.filter(F.col("kinds") > GIANT).limit(1).count():
+        found = found.unionByName(counted_windows(texts.filter("big is not null").drop("big"), length))
+    found = store(found.filter(F.size("runs") > 0), "found", "zstd")
+    return marks.join(found, ["fp", "c"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "runs")).alias("found"))
+
+
+def _keyed(docs: DataFrame) -> tuple:
+    """The columns that tell rows apart: doc_id, or the least long where it is null, and a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th")
+
+
+def _kept(text: np.ndarray, found: list[dict] | None, length: int) -> tuple[bytes, int]:
+    """(what stays of a text, number of removed spans)."""
+    cut = _spans(found, length)
+    if not len(cut):
+        return text.tobytes(), 0
+    edges = np.concatenate(([0], cut.ravel(), [len(text)])).reshape(-1, 2)
+    return b"".join(text[x:y].tobytes() for x, y in edges.tolist()), len(cut)
+
+
+def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`docs`, all its columns, with texts less their repeated spans (see remove_repeats); bytes of cut
+    characters go too, and n_chars, if there is one, is counted anew. Null texts stay null."""
+    import json
+
+    id_, th = _keyed(docs)
+    rows = docs.select(id_, th, F.col("text").cast("binary").alias("text"))
+    met = docs.withColumn("__id", id_).withColumn("__th", th)
+    spans = _found_spans(rows, length).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.to_json("found").alias("__found"))
+
+    @F.pandas_udf("string")
+    def cut(texts, found):
+        out = []
+        for t, f in zip(texts, found, strict=True):
+            out.append(t if f is None or t is None else _kept(np.frombuffer(t.encode(), np.uint8), json.loads(f), length)[0].decode(errors="ignore"))
+        return type(texts)(out, dtype=object)
+
+    out = met.join(spans, ["__id", "__th"], "left").withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(cut("text", "__found")))
+    out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -232,17 +282,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fal
     null; an empty table gives no rows; other columns are ignored. `kept` may end within a character's
     bytes, as spans do.
     """
-    rows = only(docs, {"doc_id": "long", "text": "string"}).select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    marks = store(anchors(rows, length), "anchors", "zstd")
-    groups = marks.groupBy("fp", "c").agg(F.count(F.lit(1)).alias("m"), *(F.first(k).alias(k) for k in ("id", "th", "at", "starts")))
-    shared = groups.groupBy("fp").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2").drop("total")
-    wanted = store(groups.join(shared, "fp"), "wanted", "zstd")
-    texts = store(contexts(rows, wanted, length).join(wanted.filter(F.col("kinds") > GIANT).select(F.col("fp").alias("big")).distinct(), F.col("fp") == F.col("big"), "left"), "contexts", "zstd")
-    found = sorted_shards(texts.filter("big is null").drop("big"), length)
-    if wanted.filter(F.col("kinds") > GIANT).limit(1).count():
-        found = found.unionByName(counted_windows(texts.filter("big is not null").drop("big"), length))
-    found = store(found.filter(F.size("runs") > 0), "found", "zstd")
-    spans = marks.join(found, ["fp", "c"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "runs")).alias("found"))
+    docs = only(docs, {"doc_id": "long", "text": "string"})
+    rows = docs.select(*_keyed(docs), F.col("text").cast("binary").alias("text"))
+    spans = _found_spans(rows, length)
     fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches):
@@ -251,10 +293,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fal
             out = []
             for k, got in enumerate(b.column(2).to_pylist()):
                 text = data[offsets[k] : offsets[k + 1]]
-                cut = _spans(got, length)
-                edges = np.concatenate(([0], cut.ravel(), [len(text)])).reshape(-1, 2)
-                kept = b"".join(text[x:y].tobytes() for x, y in edges.tolist()) if len(cut) else text.tobytes()
-                out.append((len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+                kept, cuts = _kept(text, got, length)
+                out.append((len(text), len(text) - len(kept), cuts, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             ids = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([None if i == -(2**63) else i for i in ids], pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(fields)[1:], strict=True))], schema=fields)
