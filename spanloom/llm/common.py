@@ -37,6 +37,15 @@ def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more (what is read later must have been stored anew)."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/spanloom-" in path:
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def join_small(df: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Null-safe join with a per-key table: broadcast only if it is counted to be small, else a shuffle
     join whose skewed partitions adaptive execution splits."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import release, store
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = store(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-        edges = store(small.filter("u <> v").distinct(), "small-star")
+        last, edges = edges, store(small.filter("u <> v").distinct(), "small-star")
+        release(large, last)
         after = _state(edges)
         if after == before:
             break

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, store
+from .common import only, release, store
 from .components import components
 from .tokens import _LOWER, _SPACE, flat, steps
 
@@ -25,6 +25,8 @@ WORDS, BANDS, ROWS = 5, 40, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Rounds of stars at most, and pairs for each row of the mixed buckets below which all pairs are compared.
 ROUNDS, FEW = 8, 4
+#: An estimate further below the threshold than so many of its standard deviations is no link (3 in a million).
+DEVIATIONS = 4.5
 #: Keys at or above stand for rows without a doc_id.
 NO_ID = 1 << 62
 
@@ -303,7 +305,7 @@ def _key(docs: DataFrame):
 
 def _grouped(rows: DataFrame, percent: int) -> DataFrame:
     """(key, n, component) for each of the rows (key, text)."""
-    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
+    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
     marks = store(sketches(rows), "sketches", "zstd")
     classes = store(marks.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("node")), "classes")
     reps = marks.join(classes.withColumnRenamed("node", "key"), ["d1", "d2", "n", "key"], "left_semi").select(F.col("key").alias("node"), "n", "regs").dropDuplicates(["node"])
@@ -318,22 +320,25 @@ def _grouped(rows: DataFrame, percent: int) -> DataFrame:
     pair = (F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
     tested = store(multi.filter((F.col("node") != F.col("lead.node")) & fits(F.col("lead.n"))).select(*pair).distinct(), "stars")
     links = store(verified(store(likely(tested, reps, least), "likely"), texts, percent), "links")
+    gained = True
     for turn in range(ROUNDS + 1):
         comps = components(links)
         rest = store(apart(multi, comps), "apart")
-        size = rest.groupBy("band").count().agg(F.sum("count").alias("rows"), F.sum(F.expr("count * (count - 1) / 2")).alias("pairs")).first()
+        size = rest.groupBy("band", "comp").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.expr("count * count")).alias("own"))
+        size = size.agg(F.sum("n").alias("rows"), F.sum(F.expr("(n * n - own) / 2")).alias("pairs")).first()  # pairs between components
         if not size["rows"]:
             break
-        last = turn == ROUNDS or size["pairs"] <= FEW * size["rows"]
+        last = turn == ROUNDS or not gained or size["pairs"] <= FEW * size["rows"]
         if last:
             pairs = crossing(rest.join(reps.select("node", "regs"), "node").select("band", "node", "n", "comp", "regs"), percent, least)
         else:
             lead = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "n", "comp")).alias("lead"))
             pairs = rest.join(lead, "band").filter((F.col("comp") != F.col("lead.comp")) & fits(F.col("lead.n"))).select(*pair).distinct()
-        pairs = store(store(pairs, "pairs").join(tested, ["u", "v"], "left_anti"), "untested")
+        pairs = store(pairs.join(tested, ["u", "v"], "left_anti"), "untested")
+        release(rest)
         tested = tested.unionByName(pairs)
         found = store(verified(pairs if last else store(likely(pairs, reps, least), "likely"), texts, percent), "links")
-        links = links.unionByName(found)
+        links, gained = links.unionByName(found), found.limit(1).count() > 0
         if last:
             comps = components(links)
             break
