@@ -16,7 +16,7 @@ from spanloom.llm.queries import table, vocabulary
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and the decision list learned from `labels`."""
     rules = quality.fit_quality_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.quality(docs, rules).filter("kept").select(*docs.columns)
+    return quality.accepted(docs, rules)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,3 +168,13 @@ def quality(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
     return out.drop(*(f"f_{k}" for k in FEATURES))
+
+
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of `docs`, with its columns, that `quality` keeps.
+
+    The row number keeps the filter above the projections: pushed below them, it would compute the
+    statistics again for each of its tests.
+    """
+    kept = quality(docs, rules).withColumn("__row", F.monotonically_increasing_id()).filter("kept and __row >= 0")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
