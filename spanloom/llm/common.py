@@ -62,6 +62,21 @@ def only(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
 
 
+def trim() -> None:
+    """Give a finished task's memory back to the system: Python workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def let(value: Column, body) -> Column:
     """Bind an expression once for use inside a higher-order expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -10,10 +10,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, store
+from .common import only, store, trim
 from .tokens import tokenized
 
-WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 22, 16, 1.5, 0.75
+WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 21, 16, 1.5, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
@@ -175,5 +175,6 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW, shard:
                 waiting += len(x)
         if held:
             yield close()
+        trim()
 
     return tokens.select("doc_id", "ids").mapInArrow(run, PIECES + ", ids binary" * ids)

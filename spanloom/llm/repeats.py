@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, store
+from .common import only, store, trim
 from .neardup import _mixed
 from .suffixes import permuted_prefixes, suffix_array
 from .tokens import flat, steps
@@ -185,6 +185,7 @@ def sorted_shards(texts: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
                 last, size = (row[0], row[1]), size + len(row[4]) + 1
         if held:
             yield close(held)
+        trim()
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return texts.repartition(parts, "fp").sortWithinPartitions("fp", "c").mapInArrow(run, FOUND)

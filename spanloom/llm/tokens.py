@@ -16,8 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 #: Bytes of text handled at a time, and chunks in each of the memo's two generations.
-STEP, MEMO = 8 << 20, 350_000
+STEP, MEMO = 6 << 20, 200_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -171,5 +173,6 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
                 full[keep] = ids
                 spans = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends * enc.wide.itemsize).astype(np.int32)), pa.py_buffer(full)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(ends)), spans], schema=TOKENS_SCHEMA)
+        trim()
 
     return docs.mapInArrow(run, TOKENS)
