@@ -66,8 +66,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     table gives no rows; other columns are ignored.
     """
     rows = only(docs, {"doc_id": "long", "text": "string", "source": "string"})
-    rows = rows.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size"), (odds if odds is not None else F.lit(1.0)).cast("double").alias("odds"))
-    rows = store(rows.withColumn("u", uniform(seed, F.col("doc_id"), F.col("text_hash"))), "mix-sizes")
+    rows = rows.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), n_words(F.col("text")).alias("size"), (odds if odds is not None else F.lit(1.0)).cast("double").alias("odds"))
+    rows = store(rows.withColumn("u", uniform(seed, F.col("doc_id"), F.col("digest"))).drop("digest"), "mix-sizes")
     goals = store(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most, "mix-sources"), "mix-targets")
     rows = join_small(rows, goals, "source")
     number = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -118,7 +118,9 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, max_rule
                             best = (gain, (name, op, float(cut)), low if op == "<=" else covered & ~low)
             if best[1] is None:
                 break
-            tests.append(best[1])
+            name, op, cut = best[1]
+            v = x[covered, FEATURES.index(name)]
+            tests.append((name, op, float((cut + v[v > cut].min()) / 2)))  # halfway to the next value seen
             covered = best[2]
         worth = lambda r: ((r.mask(x) & prune & bad).sum() - (r.mask(x) & prune & ~bad).sum()) / max(1, (r.mask(x) & prune).sum())
         rule = Rule(tuple(tests))
@@ -127,6 +129,9 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, max_rule
             if worth(shorter) < worth(rule):
                 break
             rule = shorter
+        # of tests of one kind only the tightest says anything
+        tight = {(n, o): min((c for a, b, c in rule.tests if (a, b) == (n, o)), key=lambda c: c if o == "<=" else -c) for n, o, _ in rule.tests}
+        rule = Rule(tuple((n, o, c) for (n, o), c in tight.items()))
         m = rule.mask(x) & alive
         if not tests or not (m & bad).any() or right(m & ~held) < precision - 0.05 or ((m & held).sum() >= 5 and right(m & held) < precision - 0.1):
             break
@@ -166,15 +171,14 @@ def quality(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """
     out = statistics(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
+    # a row number in these columns keeps a filter on them above the projections: pushed below, it would
+    # compute the statistics again for each of its tests
+    here = F.monotonically_increasing_id() >= 0
+    out = out.withColumn("base_failed", failed & here).withColumn("kept", here & F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
     return out.drop(*(f"f_{k}" for k in FEATURES))
 
 
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of `docs`, with its columns, that `quality` keeps.
-
-    The row number keeps the filter above the projections: pushed below them, it would compute the
-    statistics again for each of its tests.
-    """
-    kept = quality(docs, rules).withColumn("__row", F.monotonically_increasing_id()).filter("kept and __row >= 0")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of `docs`, with its columns, that `quality` keeps."""
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+    return quality(rows, rules).filter("kept").select("__doc.*")
