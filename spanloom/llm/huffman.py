@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, only, store
+from .common import new_path, only, store, trim
 from .files import Reader, Writer
 from .tokens import tokenized
 
@@ -176,7 +176,7 @@ def write_files(docs: DataFrame, path: str, end: int = 0, folder: str | None = N
             offsets = np.concatenate(([0], np.cumsum(b.column(1).to_numpy()))).astype(np.int64)
             a = 0
             while a < b.num_rows:
-                z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20), "right")) - 1)
+                z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 18), "right")) - 1)
                 raw = [x.as_buffer() for x in b.column(2).slice(a, z - a)]
                 ids, ends = np.concatenate([np.frombuffer(x, wide) for x in raw]).astype(np.int64), offsets[a : z + 1] - offsets[a]
                 data, place, marks = code.encode(ids, ends)
@@ -189,6 +189,7 @@ def write_files(docs: DataFrame, path: str, end: int = 0, folder: str | None = N
                     pa.array([marks[first[k] : first[k + 1]].tobytes() for k in range(z - a)], pa.binary()), pa.array([data[place[k] : place[k + 1]] for k in range(z - a)], pa.binary()),
                 ], schema=fields)
                 a = z
+        trim()
 
     folder = folder or new_path(spark, "huffman")
     done = pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("at", pa.list_(pa.int64())), ("size", pa.list_(pa.int64()))])
@@ -260,6 +261,7 @@ def read_files(spark: SparkSession, files: DataFrame, lengths: np.ndarray, ids:
                 cols = [pa.array(names, pa.int64()), pa.array(row["base"] + ends[:-1]), pa.array(counts), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * ids, schema=pa.schema(fields))
         reader.close()
+        trim()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = based.select("file", "at", "size", "base").mapInArrow(heads, "file string, at long, size long, base long").repartition(parts)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import trim
 
 #: Bytes of text handled at a time, and chunks in each of the memo's two generations.
-STEP, MEMO = 6 << 20, 200_000
+STEP, MEMO = 4 << 20, 300_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -89,12 +89,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # the memo holds what the library would
         self.size = self.tokenizer.get_vocab_size()
         self.wide = np.dtype("<u2" if self.size <= 65536 else "<u4")
         self.lower = '"Lowercase"' in self.tokenizer.to_str()
+        special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and "<|" in t.content]
+        self.mark = special[-1] if special else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _chunks(self, texts: list[str]) -> list[bytes]:
+        """ids of each chunk. A special token parts a text before anything else is done to it, so chunks
+        joined by one are encoded apart in one call; chunks that may hold one belong to texts that the
+        library gets whole, and their ids aren't used."""
+        if self.mark is None:
+            return self._library(texts)
+        name, number = self.mark
+        out, groups = [], [texts[k : k + 512] for k in range(0, len(texts), 512)]
+        joined = [name.join("" if "<|" in t else t for t in g) for g in groups]
+        size = self.wide.itemsize
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.wide)
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == number) * size).tolist()
+            assert len(cuts) == len(g) - 1
+            out += [raw[a:b] for a, b in zip([0, *(c + size for c in cuts)], [*cuts, len(raw)], strict=True)]
+        return out
+
     def _library(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.wide.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -112,7 +133,7 @@ class Encoder:
                 missing.append(k)
             else:
                 out[k] = new[chunks[k]] = x
-        for k, x in zip(missing, self._library([chunks[k].decode() for k in missing]), strict=True):
+        for k, x in zip(missing, self._chunks([chunks[k].decode() for k in missing]), strict=True):
             out[k] = new[chunks[k]] = x
         return out
 
@@ -127,12 +148,13 @@ class Encoder:
         words = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         known = self._known(words.dictionary.to_pylist())
         code = words.indices.to_numpy(zero_copy_only=False)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // self.wide.itemsize
-        table, first = np.frombuffer(b"".join(known), self.wide), np.cumsum(size) - size
+        # a text of 2 GB has fewer ids than an INT holds, so places fit 32 bits
+        size = np.fromiter(map(len, known), np.int32, len(known)) // self.wide.itemsize
+        table, first = np.frombuffer(b"".join(known), self.wide), np.cumsum(size, dtype=np.int32) - size
         each = size[code]
-        upto = np.concatenate(([0], np.cumsum(each)))
-        place = np.arange(upto[-1]) + np.repeat(first[code] - upto[:-1], each)
-        ids, ends = table[place], upto[np.searchsorted(cuts, offsets)]
+        upto = np.concatenate(([0], np.cumsum(each, dtype=np.int32)))
+        place = np.arange(upto[-1], dtype=np.int32) + np.repeat(first[code] - upto[:-1].astype(np.int32), each)
+        ids, ends = table[place], upto[np.searchsorted(cuts, offsets)].astype(np.int64)
         odd = odd_texts(data, offsets)
         if len(odd):
             whole = dict(zip(odd.tolist(), self._library([whole[offsets[k] : offsets[k + 1]].tobytes().decode() for k in odd]), strict=True))
