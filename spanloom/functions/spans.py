@@ -16,6 +16,10 @@ STOPWORDS = ("a", "an", "the", "of", "for", "to", "in", "on", "at", "by", "with"
 JOURNALS = r"\b(?:j\.|amer\.|chem\.|soc\.|proc\.|trans\.|nature|science|lancet|jama|ieee|acm)\b"
 CITATIONS = (r"\bpatent\s+applications?\b", r"\bpatent\s+no\.?\b", r"\bpatent\s+publications?\b", r"\bpublished\s+(?:patent|application)\b", r"\bcopyright\s+notice\b", r"\bcopyright\s+owner\b", r"\ball\s+copyright\s+rights?\b", r"\bportion\s+of\s+(?:this|the)\s+patent\s+document\b", r"\bno\s+objection\s+to\s+the\s+facsimile\s+reproduction\b", r"\b37\s*cfr\s*§?\s*1\.71\b", r"\bet\s+al\.?\b", r"\b\d{1,2},\d{3},\d{3}\b", JOURNALS)
 
+PUBLICATION = r"(?i)\b(?:WO|EP|US|CN|JP|KR|DE|FR|GB|PCT)\s*(?:\d{4}/\d{4,8}|\d{6,12}(?:/\d{1,4})?)(?:\s*[A-Z]\d?)?\b"
+FIGURE = r"(?i)^(?:figure|fig\.?)(?:\s+[A-Za-z0-9][A-Za-z0-9.-]*)+$"
+AUTHOR = r"\b(?:[A-Z]\.){1,3}\s*[A-Z][a-z]+(?:[- ][A-Z][a-z]+)?\b"
+
 
 def is_header(c: Column) -> Column:
     """A section token, one with a number or up to two words, or a lone header or model-token word."""
@@ -33,7 +37,7 @@ def is_formula(c: Column) -> Column:
 def is_bibliographic(c: Column, standalone: bool = False) -> Column:
     s, low = strip(c), F.lower(strip(c))
     year, pages, journal = s.rlike(r"\((?:19|20)\d{2}\)"), s.rlike(r"\b\d+\s*:\s*\d+\b"), low.rlike(JOURNALS)
-    out = low.rlike(r"\bet\s+al\.?\b") | s.rlike(r"\b(?:[A-Z]\.){1,3}\s*[A-Z][a-z]+(?:[- ][A-Z][a-z]+)?\b") | (year & pages) | (journal & (year | pages))
+    out = low.rlike(r"\bet\s+al\.?\b") | s.rlike(AUTHOR) | (year & pages) | (journal & (year | pages))
     return out | s.rlike(r"^(?:J\.|Amer\.|Chem\.?|Soc\.?|Proc\.?|Trans\.?)$") if standalone else out
 
 
@@ -57,8 +61,8 @@ def is_good_span(c: Column, section: Column, standalone: bool = False) -> Column
     if not standalone:
         bad = bad | plain | generic
     bad = bad | c.rlike(r"^[\d\s\-.,;:()%°/]+$") | c.rlike(r"\d{1,2},\d{3},\d{3}") | c.rlike(r"\b\d{7,}\b") | low.rlike(r"patent\s*no\.?")
-    bad = bad | c.rlike(r"(?i)\b(?:WO|EP|US|CN|JP|KR|DE|FR|GB|PCT)\s*(?:\d{4}/\d{4,8}|\d{6,12}(?:/\d{1,4})?)(?:\s*[A-Z]\d?)?\b")
-    bad = bad | s.rlike(r"(?i)^(?:figure|fig\.?)(?:\s+[A-Za-z0-9][A-Za-z0-9.-]*)+$") | ((section == "invention") & is_bibliographic(c, standalone))
+    bad = bad | c.rlike(PUBLICATION)
+    bad = bad | s.rlike(FIGURE) | ((section == "invention") & is_bibliographic(c, standalone))
     bad = bad | c.rlike(r"(?i)^section\s+[A-Z][A-Za-z]*(?:\s|$)") | low.rlike(r"\b(derwent|espacenet|patent\s+central|world\s+patents)\b") | low.rlike(r"\bweek\s+\d{4,8}\b")
     for template in TEMPLATES:
         bad = bad | F.contains(low, F.lit(template))

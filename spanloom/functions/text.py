@@ -18,8 +18,12 @@ PLAIN_MODELS = ("allenai/specter2_base", "patentbert", "mpi-inno-comp/paecter",
 #: Words cut from both ends of a canonical span.
 EDGE_WORDS = ("a", "an", "the", "this", "that", "these", "those", "any")
 
+#: Patterns of reference numerals, claim references and classification tags.
 _REF = r"(?:\d+[a-zA-Z]?|[ivxlcdmIVXLCDM]+)"
 _REFS = rf"{_REF}(?:\s*[,;]\s*{_REF})*"
+_PRECEDING = r"(?i)\b(?:any\s+(?:one\s+)?of\s+the\s+preceding\s+claims?|the\s+preceding\s+claim|each\s+of\s+the\s+preceding\s+claims?|preceding\s+claims?)\b"
+_CLAIM_LIST = r"(?i)\bclaims?\s+((?:\d+\s*(?:to|through|and|or|,|-|–)\s*)*\d+)"
+_IPC_TAGS = ("<(?:main|further)-classification>([^<]+)</(?:main|further)-classification>", "<classification-ipcr[^>]*>([A-Z][^<]+)</classification-ipcr>")
 
 
 def strip(c: Column) -> Column:
@@ -115,9 +119,9 @@ def poor_last_sentence(c: Column) -> Column:
 
 def claim_references(text: Column, number: Column, most: Column) -> Column:
     """Sorted earlier claim numbers that a claim's text names: lists, ranges, or all preceding ones."""
-    preceding = text.rlike(r"(?i)\b(?:any\s+(?:one\s+)?of\s+the\s+preceding\s+claims?|the\s+preceding\s+claim|each\s+of\s+the\s+preceding\s+claims?|preceding\s+claims?)\b")
+    preceding = text.rlike(_PRECEDING)
     earlier = F.when(preceding & (number > 1), F.sequence(F.lit(1), number - 1)).otherwise(F.array().cast("array<int>"))
-    lists = F.regexp_extract_all(text, F.lit(r"(?i)\bclaims?\s+((?:\d+\s*(?:to|through|and|or|,|-|–)\s*)*\d+)"), F.lit(1))
+    lists = F.regexp_extract_all(text, F.lit(_CLAIM_LIST), F.lit(1))
 
     def named(part: Column) -> Column:
         nums = F.transform(F.regexp_extract_all(part, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
@@ -140,8 +144,8 @@ def normal_ipc(c: Column) -> Column:
 
 def ipc_codes(header: Column) -> Column:
     """STRUCT<sc, sg>: sorted distinct subclasses and subgroups in a document's header."""
-    old = F.regexp_extract_all(header, F.lit("<(?:main|further)-classification>([^<]+)</(?:main|further)-classification>"), F.lit(1))
-    new = F.regexp_extract_all(header, F.lit("<classification-ipcr[^>]*>([A-Z][^<]+)</classification-ipcr>"), F.lit(1))
+    old = F.regexp_extract_all(header, F.lit(_IPC_TAGS[0]), F.lit(1))
+    new = F.regexp_extract_all(header, F.lit(_IPC_TAGS[1]), F.lit(1))
     raw = F.filter(F.concat(old, new), lambda x: F.replace(strip(x), F.lit(" "), F.lit("")).rlike(r"^\p{L}.{3}"))
     sub = F.transform(raw, lambda x: F.upper(F.substring(F.replace(strip(x), F.lit(" "), F.lit("")), 1, 4)))
     return F.struct(F.array_sort(F.array_distinct(sub)).alias("sc"), F.array_sort(F.array_distinct(F.filter(F.transform(raw, normal_ipc), lambda x: x != ""))).alias("sg"))

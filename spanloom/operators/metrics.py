@@ -77,3 +77,9 @@ def report(passages: DataFrame, documents: DataFrame, qrels: DataFrame) -> DataF
         ndcg(d, docs, 10, "ndcg_doc@10"), average_precision(d, docs, "map_doc"), reciprocal_rank(d, docs, "mrr_doc"),
     ]
     return reduce(DataFrame.unionByName, rows)
+
+
+def in_order(table: DataFrame) -> DataFrame:
+    """A metric table (a few rows) with `place`: by name, then by the number after '@'."""
+    depth = F.coalesce(F.expr("try_cast(regexp_extract(metric, '@([0-9]+)$', 1) as int)"), F.lit(0))
+    return table.withColumn("place", F.row_number().over(Window.orderBy(F.substring_index("metric", "@", 1), depth)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import encoding, sampling, tables
+from ..operators import encoding, metrics, sampling, tables
 from ..sources import corpora as C
 from .q_text import section_texts
 from .q_vectors import cells, centers, radii, top, vectors
@@ -82,17 +82,17 @@ def src8_language_corpus(spark, d):
 
 
 def topics(spark, d):
-    b = table(spark, d, "benchmark").filter("item_id < 30")
+    b = table(spark, d, "benchmark")
     block = F.concat(F.lit("<tid>T"), "item_id", F.lit("</tid>\n<tfile>"), "item_id", F.lit(".xml</tfile>\n<tclaims>/patent-document/claims/claim[1] /patent-document/abstract[1]/p[1]</tclaims>\n<tfam-docs>f"), "item_id", F.lit("</tfam-docs>\n\n<tid>bad</tid>"))
     return C.parse_topics(b.select(block.alias("text")))
 
 
-@query("SELECT 'T' || item_id AS tid, item_id || '.xml' AS tfile, '/patent-document/claims/claim[1] /patent-document/abstract[1]/p[1]' AS tclaims, 'f' || item_id AS tfam FROM benchmark WHERE item_id < 30")
+@query("SELECT 'T' || item_id AS tid, item_id || '.xml' AS tfile, '/patent-document/claims/claim[1] /patent-document/abstract[1]/p[1]' AS tclaims, 'f' || item_id AS tfam FROM benchmark")
 def src9_topics(spark, d):
     return topics(spark, d).withColumn("tclaims", F.array_join("tclaims", " "))
 
 
-@query("SELECT tid, text FROM (SELECT 'T' || item_id AS tid, concat_ws(' ', nullif(trim(claim), ''), nullif(trim(abstract), '')) AS text FROM benchmark JOIN fields ON doc_id = item_id WHERE item_id < 30) WHERE text <> ''", "fields")
+@query("SELECT tid, text FROM (SELECT 'T' || item_id AS tid, concat_ws(' ', nullif(trim(claim), ''), nullif(trim(abstract), '')) AS text FROM benchmark JOIN fields ON doc_id = item_id) WHERE text <> ''", "fields")
 def src10_topic_texts(spark, d):
     p = C.passages_of(C.parse_xml(xml(spark, d)))
     n = F.regexp_extract("xpath", r"/claim\[(\d+)\]$", 1)
@@ -123,7 +123,7 @@ def src13_document_paths(spark, d):
     return C.document_paths(a.unionByName(b))
 
 
-@query(f", {_XML} SELECT q.tid AS query_id, count(*) AS n_passages FROM (SELECT DISTINCT 'T' || doc_id AS tid FROM xp WHERE text <> '' AND lang = 'EN' AND xpath LIKE '%claim[1]' AND doc_id::INT IN (SELECT item_id FROM benchmark WHERE item_id < 30)) q, (SELECT * FROM xp WHERE text <> '' AND lang = 'EN') GROUP BY 1", "fields")
+@query(f", {_XML} SELECT q.tid AS query_id, count(*) AS n_passages FROM (SELECT DISTINCT 'T' || doc_id AS tid FROM xp WHERE text <> '' AND lang = 'EN' AND xpath LIKE '%claim[1]' AND doc_id::INT IN (SELECT item_id FROM benchmark)) q, (SELECT * FROM xp WHERE text <> '' AND lang = 'EN') GROUP BY 1", "fields")
 def src14_full_corpus(spark, d):
     x = C.parse_xml(xml(spark, d))
     p, q = C.passages_of(x, "EN"), C.parse_qrels(qrel_lines(spark, d))
@@ -132,7 +132,7 @@ def src14_full_corpus(spark, d):
     return q.withColumn("n_passages", F.lit(p.count()).cast("long"))
 
 
-@query(f", {_XML} SELECT 'T' || doc_id AS query_id, doc_id || '::' || xpath AS passage_id FROM xp WHERE text <> '' AND doc_id::INT IN (SELECT item_id FROM benchmark WHERE item_id < 30)", "fields")
+@query(f", {_XML} SELECT 'T' || doc_id AS query_id, doc_id || '::' || xpath AS passage_id FROM xp WHERE text <> '' AND doc_id::INT IN (SELECT item_id FROM benchmark)", "fields")
 def src15_demo_qrels(spark, d):
     t = topics(spark, d).select(F.col("tid").alias("query_id"), F.regexp_replace("tfile", r"\.xml$", "").alias("doc_id"))
     return C.passages_of(C.parse_xml(xml(spark, d))).join(t, "doc_id").select("query_id", "passage_id")
@@ -223,17 +223,13 @@ def snk8_text_signature(spark, d):
     return tables.text_signature(table(spark, d, "benchmark"), "item_id", "text")
 
 
-_NAMES = "SELECT 'recall@' || (vec_id % 4 * 50) AS metric, vec_id AS value FROM embeddings WHERE vec_id < 8 UNION ALL SELECT 'map', 1"
+_NAMES = "SELECT 'recall@' || (label * 50) AS metric, count(*) AS value FROM embeddings GROUP BY 1"
 
 
-@query(f"SELECT metric, value, row_number() OVER (ORDER BY base, k, value)::INT AS place FROM (SELECT *, split_part(metric, '@', 1) AS base, coalesce(try_cast(split_part(metric, '@', 2) AS INT), 0) AS k FROM ({_NAMES}))")
+@query(f"SELECT metric, value, row_number() OVER (ORDER BY base, k)::INT AS place FROM (SELECT *, split_part(metric, '@', 1) AS base, coalesce(try_cast(split_part(metric, '@', 2) AS INT), 0) AS k FROM ({_NAMES} UNION ALL SELECT 'map', 1))")
 def snk9_metric_order(spark, d):
-    m = table(spark, d, "embeddings").filter("vec_id < 8").select(F.concat(F.lit("recall@"), (F.col("vec_id") % 4 * 50).cast("string")).alias("metric"), F.col("vec_id").alias("value"))
-    m = m.unionByName(spark.createDataFrame([("map", 1)], "metric string, value long"))
-    k = F.coalesce(F.expr("try_cast(regexp_extract(metric, '@([0-9]+)$', 1) as int)"), F.lit(0))
-    from pyspark.sql import Window
-
-    return m.withColumn("place", F.row_number().over(Window.orderBy(F.substring_index("metric", "@", 1), k, "value")))
+    m = table(spark, d, "embeddings").groupBy(F.concat(F.lit("recall@"), (F.col("label") * 50).cast("string")).alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    return metrics.in_order(m.unionByName(spark.createDataFrame([("map", 1)], "metric string, value long")))
 
 
 @query("SELECT item_id || chr(9) || replace(replace(text, chr(9), ' '), chr(10), ' ') AS row FROM benchmark")
@@ -408,7 +404,7 @@ def spn14_cached_span_embeddings(spark, d):
 
 @query()
 def spn15_span_embeddings(spark, d):
-    return encoding.encode(encoding.spans_of(texts(spark, d), "encoder_token").filter("section = 'claim'"))
+    return encoding.encode(encoding.spans_of(texts(spark, d), "encoder_token"))
 
 
 @query()
@@ -429,7 +425,7 @@ def spn20_passage_spans(spark, d):
     return encoding.encode(encoding.spans_of(p.select(F.col("passage_id").alias("doc_id"), section.alias("section"), "text"), "noun_chunk"))
 
 
-@query("SELECT 'bm25,colbert,dense,sparse_coverage,splade' AS models")
+@query("SELECT 'bm25,colbert,dense,sparse_centers,splade' AS models")
 def scr9_models(spark, d):
     from .retrieval import MODELS
 

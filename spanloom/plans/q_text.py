@@ -183,9 +183,9 @@ def txt20_formatted_passages(spark, d):
     return passages(spark, d).select("passage_id", T.format_section(section, F.lit("section_tokens"), F.lit("T"), F.col("text")).alias("out"))
 
 
-@query("SELECT doc_id, section, substr(text, 1, 300) AS text FROM (SELECT doc_id, 'abstract' AS section, trim(trim(title) || ' [SEP] [abstract] ' || trim(abstract)) AS text FROM fields WHERE trim(abstract) <> '' UNION ALL SELECT doc_id, 'claim', '[claim] ' || trim(claim) FROM fields WHERE trim(claim) <> '' UNION ALL SELECT doc_id, 'invention', '[invention] ' || trim(invention) FROM fields WHERE trim(invention) <> '')", "fields")
+@query("SELECT doc_id, section, substr(text, 1, 32768) AS text FROM (SELECT doc_id, 'abstract' AS section, trim(trim(title) || ' [SEP] [abstract] ' || trim(abstract)) AS text FROM fields WHERE trim(abstract) <> '' UNION ALL SELECT doc_id, 'claim', '[claim] ' || trim(claim) FROM fields WHERE trim(claim) <> '' UNION ALL SELECT doc_id, 'invention', '[invention] ' || trim(invention) FROM fields WHERE trim(invention) <> '')", "fields")
 def txt21_section_texts(spark, d):
-    return section_texts(fields(spark, d), 300)
+    return section_texts(fields(spark, d), 32768)
 
 
 def section_texts(docs, most: int, scheme: str = "section_tokens"):

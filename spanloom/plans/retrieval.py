@@ -1,6 +1,6 @@
 """End-to-end retrieval: every model gives (query_id, passage_id, score), then one rerank and one report.
 
-The knobs keep the reference values of the survey's table; those of assignment decide the stored index,
+The knobs' defaults are those of the survey's table; those of assignment decide the stored index,
 the others apply to it afterwards and need no new one.
 """
 
@@ -52,7 +52,7 @@ def build_index(spans: DataFrame, centers: DataFrame, radius: DataFrame, knobs:
     return index.weights(rows.join(spans.select("span_id", "passage_id"), "span_id"), "passage_id", knobs.weight_aggregation)
 
 
-def sparse_coverage(queries: DataFrame, spans: DataFrame, centers: DataFrame, radius: DataFrame, postings: DataFrame, n_centers: int, knobs: Knobs = Knobs()) -> DataFrame:
+def sparse_centers(queries: DataFrame, spans: DataFrame, centers: DataFrame, radius: DataFrame, postings: DataFrame, n_centers: int, knobs: Knobs = Knobs()) -> DataFrame:
     """Scores of query spans (span_id, query_id, position, v) against stored postings."""
     postings = postings.join(index.stop_centers(postings, n_centers, knobs.stop_center_fraction).select("center_id"), "center_id", "left_anti")
     counts = spans.groupBy("passage_id").agg(F.count(F.lit(1)).alias("n_spans"))
@@ -64,7 +64,7 @@ def sparse_coverage(queries: DataFrame, spans: DataFrame, centers: DataFrame, ra
 
 
 #: Scorers by model name; each gives (query_id, passage_id, score).
-MODELS = {"sparse_coverage": sparse_coverage, "bm25": scoring.bm25, "splade": scoring.sparse_scores, "colbert": scoring.late_interaction, "dense": scoring.chunk_maximum}
+MODELS = {"sparse_centers": sparse_centers, "bm25": scoring.bm25, "splade": scoring.sparse_scores, "colbert": scoring.late_interaction, "dense": scoring.chunk_maximum}
 
 
 def evaluate(scores: DataFrame, passages: DataFrame, qrels: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
