@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, only, store, trim
 from .files import Reader, Writer
-from .tokens import tokenized
+from .tokens import flat, tokenized
 
 LONGEST, STRIDE, BLOCK = 20, 256, 1 << 18
 HEAD = "<4sIQQQ"
@@ -135,8 +135,7 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for ids in b.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2" if size <= 65536 else "<u4"), minlength=size)
+            total += np.bincount(flat(b.column(0))[0].view("<u2" if size <= 65536 else "<u4"), minlength=size)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": k, "n": total[k]}, pa.schema([("id", pa.int64()), ("n", pa.int64())]))
 
@@ -174,18 +173,20 @@ def write_files(docs: DataFrame, path: str, end: int = 0, folder: str | None = N
         code = Code(shared.value)
         for b in batches:
             offsets = np.concatenate(([0], np.cumsum(b.column(1).to_numpy()))).astype(np.int64)
-            a = 0
+            every, a = flat(b.column(2))[0].view(wide), 0
             while a < b.num_rows:
                 z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 18), "right")) - 1)
-                raw = [x.as_buffer() for x in b.column(2).slice(a, z - a)]
-                ids, ends = np.concatenate([np.frombuffer(x, wide) for x in raw]).astype(np.int64), offsets[a : z + 1] - offsets[a]
+                ends = offsets[a : z + 1] - offsets[a]
+                ids = every[offsets[a] : offsets[z]]
+                raw = memoryview(ids.tobytes())
+                sums = [zlib.crc32(raw[x:y]) for x, y in zip((ends[:-1] * wide.itemsize).tolist(), (ends[1:] * wide.itemsize).tolist(), strict=True)]
                 data, place, marks = code.encode(ids, ends)
                 first = np.concatenate(([0], np.cumsum(-(-np.diff(ends) // STRIDE))))
                 data, marks = data.tobytes(), marks.astype("<u8")
                 doc = b.column(0).slice(a, z - a)
                 part = np.searchsorted(cuts, doc.fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(part), doc, b.column(1).slice(a, z - a), pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                    pa.array(part), doc, b.column(1).slice(a, z - a), pa.array(sums, pa.int64()),
                     pa.array([marks[first[k] : first[k + 1]].tobytes() for k in range(z - a)], pa.binary()), pa.array([data[place[k] : place[k + 1]] for k in range(z - a)], pa.binary()),
                 ], schema=fields)
                 a = z
