@@ -158,13 +158,14 @@ def farthest_first(points: DataFrame, n_centers: int, batch: int = 1, pool_bytes
         return points.select("span_id", "v").coalesce(1).mapInArrow(run, "position long, span_id long")
     from .tables import keep
 
-    spark, chosen, last = points.sparkSession, [start["span_id"]], [start["v"]]
+    spark, chosen, last = points.sparkSession, [start["span_id"]], [start]
     far = keep(points.select("span_id", unit(F.col("v")).alias("v"), F.lit(9.0).alias("far")))
     while len(chosen) < n_centers:
-        new = F.array_min(F.array(*(F.round(1 - dot(F.col("v"), F.array(*(F.lit(float(x)) for x in np.asarray(c) / max(np.linalg.norm(c), 1e-12)))), 6) for c in last)))
-        far = keep(far.select("span_id", "v", F.least("far", new).alias("far")))
-        best = far.filter(~F.col("span_id").isin(chosen[-10_000:])).orderBy(F.desc("far"), "span_id").limit(min(batch, n_centers - len(chosen))).collect()
-        chosen, last = chosen + [r["span_id"] for r in best], [r["v"] for r in best]
+        new = F.array_min(F.array(*(F.round(1 - dot(F.col("v"), F.array(*(F.lit(float(x)) for x in np.asarray(r["v"]) / max(np.linalg.norm(r["v"]), 1e-12)))), 6) for r in last)))
+        taken = F.col("span_id").isin([r["span_id"] for r in last])  # earlier ones are at -1 already
+        far = keep(far.select("span_id", "v", F.when(taken, -1.0).otherwise(F.least("far", new)).alias("far")))
+        best = far.orderBy(F.desc("far"), "span_id").limit(min(batch, n_centers - len(chosen))).collect()
+        chosen, last = chosen + [r["span_id"] for r in best], best
     return spark.createDataFrame(list(enumerate(chosen)), "position long, span_id long")
 
 
