@@ -250,21 +250,24 @@ def _kept(text: np.ndarray, found: list[dict] | None, length: int) -> tuple[byte
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs`, all its columns, with texts less their repeated spans (see remove_repeats); bytes of cut
     characters go too, and n_chars, if there is one, is counted anew. Null texts stay null."""
-    import json
-
     id_, th = _keyed(docs)
-    rows = docs.select(id_, th, F.col("text").cast("binary").alias("text"))
-    met = docs.withColumn("__id", id_).withColumn("__th", th)
-    spans = _found_spans(rows, length).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.to_json("found").alias("__found"))
-
-    @F.pandas_udf("string")
-    def cut(texts, found):
-        out = []
-        for t, f in zip(texts, found, strict=True):
-            out.append(t if f is None or t is None else _kept(np.frombuffer(t.encode(), np.uint8), json.loads(f), length)[0].decode(errors="ignore"))
-        return type(texts)(out, dtype=object)
-
-    out = met.join(spans, ["__id", "__th"], "left").withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(cut("text", "__found")))
+    names = docs.columns
+    spans = _found_spans(docs.select(id_, th, F.col("text").cast("binary").alias("text")), length).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("found").alias("__found"))
+    met = docs.select(*(F.col(f"`{c}`") for c in names), id_.alias("__id"), th.alias("__th")).join(spans, ["__id", "__th"], "left").select(*(F.col(f"`{c}`") for c in names), "__found")
+
+    def run(batches):
+        here = names.index("text")
+        for b in batches:
+            data, offsets = flat(b.column(here))
+            real = b.column(here).is_valid().to_pylist()
+            for i, j in steps(offsets, 4 << 20):
+                found = b.column(len(names)).slice(i, j - i).to_pylist()
+                texts = [_kept(data[offsets[k] : offsets[k + 1]], f, length)[0].decode(errors="ignore") if real[k] else None for k, f in zip(range(i, j), found, strict=True)]
+                cols = [pa.array(texts, pa.string()) if k == here else b.column(k).slice(i, j - i) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim()
+
+    out = met.mapInArrow(run, docs.schema)
     out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
