@@ -10,10 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, store, trim
+from .common import only, release, store, trim
 from .tokens import tokenized
 
 WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 21, 16, 1.5, 0.75
+#: Lexical groups: dimensions of the hashed term weights, documents fitted to, groups a shard and in all, rounds.
+DIMENSIONS, FITTED, FINE, GROUPS, ROUNDS = 256, 20_000, 8, 4096, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
@@ -38,19 +40,98 @@ def corpus_statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, in
     return df, docs, total
 
 
+def weighted_terms(ids: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, BM25 weight) of each document's distinct terms, in order."""
+    lengths = np.diff(ends)
+    key = (np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) << 20) | ids
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(first, len(key))).astype(np.float32)
+    doc, term = (key[first] >> 20).astype(np.int32), (key[first] & 0xFFFFF).astype(np.int32)
+    norm = K1 * (1 - B + B * lengths / max(mean, 1e-9)).astype(np.float32)
+    return doc, term, idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+
+
+def hashed_weights(ids: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """A unit vector for each document: its term weights under signed hashing, so that dot products follow shared terms."""
+    doc, term, weight = weighted_terms(ids, ends, idf, mean)
+    h = (term.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    cell = (h >> np.uint64(40)).astype(np.int64) % DIMENSIONS
+    sign = np.where(h >> np.uint64(63), weight, -weight)
+    x = np.bincount(doc * np.int64(DIMENSIONS) + cell, sign, (len(ends) - 1) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def fitted_groups(x: np.ndarray, groups: int) -> np.ndarray:
+    """Spherical k-means centers of the unit vectors x, each next to one that is near it."""
+    rng = np.random.default_rng(11)
+    c = x[rng.permutation(len(x))[:groups]]
+    for _ in range(ROUNDS):
+        near = np.argmax(x @ c.T, 1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 1e-6, total / np.maximum(size, 1e-9), c)
+    order, left = [0], np.ones(len(c), bool)
+    while len(order) < len(c):
+        left[order[-1]] = False
+        order.append(int(np.argmax(np.where(left, c @ c[order[-1]], -2))))
+    return c[order]
+
+
+def lexically_grouped(tokens: DataFrame, idf, mean: float, total: int, wide: np.dtype, shard: int) -> DataFrame:
+    """The rows of `tokens`, lexically similar documents beside each other, dealt into parts of about a shard.
+
+    Every document is compared with the centers of all groups, which are fitted on at most FITTED documents of
+    the whole table. Groups follow a chain of near centers, and parts are ranges of it, so a group larger than a
+    part is dealt over several and no part is larger for it.
+    """
+    parts = max(1, -(-total * 5 // (shard * 4)))
+    if parts == 1:
+        return tokens.coalesce(1)
+
+    def vectors(b, k):
+        flat = np.frombuffer(b"".join(x.as_buffer() for x in b.column(k)), wide).astype(np.int64)
+        sizes = np.fromiter((len(x.as_buffer()) for x in b.column(k)), np.int64, b.num_rows) // wide.itemsize
+        ends, at = np.concatenate(([0], np.cumsum(sizes))), 0
+        while at < b.num_rows:  # about a million ids at a time
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), "right")) - 1)
+            yield hashed_weights(flat[ends[at] : ends[to]], ends[at : to + 1] - ends[at], idf.value, mean)
+            at = to
+
+    def sample(batches):
+        for b in batches:
+            for x in vectors(b, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+
+    rows = tokens.select(F.pmod(F.xxhash64("doc_id", "n"), F.lit(1_000_003)).alias("h"), "ids")
+    share = FITTED / max(tokens.count(), 1)
+    picked = rows.filter(F.col("h") <= min(1.0, share) * 1_000_003).select("ids").limit(FITTED)
+    x = np.frombuffer(b"".join(r["x"] for r in picked.mapInArrow(sample, "x binary").collect()), np.float32).reshape(-1, DIMENSIONS)
+    if not len(x):
+        x = np.zeros((1, DIMENSIONS), np.float32)
+    centers = tokens.sparkSession.sparkContext.broadcast(fitted_groups(x, min(parts * FINE, GROUPS)))
+
+    def run(batches):
+        for b in batches:
+            place = np.concatenate([np.argmax(v @ centers.value.T, 1) for v in vectors(b, 1)]) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place.astype(np.int32))], ["doc_id", "ids", "place"])
+        trim()
+
+    near = tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, place int")
+    near = store(near.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "pack-grouped", "zstd")
+    release(tokens)
+    return near.repartitionByRange(parts, "place", "salt").sortWithinPartitions("place", "salt")
+
+
 class Index:
     """BM25 postings of a shard, ordered by term, with weights from corpus-wide statistics."""
 
     def __init__(self, ids: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float):
         docs = len(ends) - 1
-        lengths = np.diff(ends)
-        key = (np.repeat(np.arange(docs, dtype=np.int64), lengths) << 20) | ids
-        key.sort()
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(key))).astype(np.float32)
-        doc, term = (key[first] >> 20).astype(np.int32), (key[first] & 0xFFFFF).astype(np.int32)
-        norm = K1 * (1 - B + B * lengths / max(mean, 1e-9)).astype(np.float32)
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        doc, term, weight = weighted_terms(ids, ends, idf, mean)
         self.own = np.searchsorted(doc, np.arange(docs + 1))
         self.terms, self.weights = term, weight
         by = np.argsort(term.astype(np.uint16), kind="stable") if len(idf) <= 65536 else np.argsort(term, kind="stable")
@@ -130,9 +211,10 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW, shard:
     """Pieces of all documents (null text: empty) in sequences of at most `window` ids.
 
     Documents are tokenized once into a stored table. Corpus-wide statistics (bounded by the vocabulary)
-    weight the terms; the index is sharded by the table's splits, up to `shard` ids at a time, so nothing
-    is moved and no task holds more than a shard or one document. Sequences are full, but for the last of
-    a shard, whose lengths are powers of two, so none is padded.
+    weight the terms. Documents are brought beside lexically similar ones of the whole table (see
+    lexically_grouped); seeds then query shards of up to `shard` ids, so no task holds more than a shard or
+    one document. Neighbours in other shards are not found; the README gives the recall. Sequences are full,
+    but for the last of a shard, whose lengths are powers of two, so none is padded.
 
     Defined cases: each row is a document of its own even if ids or texts repeat; a null doc_id stays
     null; an empty table gives no rows; other columns are ignored. With `ids`, the pieces' ids follow as
@@ -177,4 +259,5 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW, shard:
             yield close()
         trim()
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, PIECES + ", ids binary" * ids)
+    near = lexically_grouped(tokens, shared, mean, total, wide, shard)
+    return near.select("doc_id", "ids").mapInArrow(run, PIECES + ", ids binary" * ids)

@@ -99,3 +99,21 @@ def test_neighbours_share_words():
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [2]
     pieces, _ = packing.fill(index, np.array([40] * 4), 64)
     assert [p[0] for p in pieces if p[3] == 0] == [0, 2]
+
+
+def test_neighbours_of_other_splits_share_windows(spark):
+    """Two documents of each topic, which stand in the two halves of the table, so in different splits."""
+    import random
+
+    rng = random.Random(5)
+    topics = [[f"{chr(97 + t % 26)}{chr(97 + t // 26)}{rng.randrange(10**6)}" for _ in range(30)] for t in range(40)]
+    rows = [(h * 40 + t, " ".join(rng.choice(topics[t]) for _ in range(80))) for h in range(2) for t in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id").coalesce(1)
+    halves = docs.filter("doc_id < 40").unionByName(docs.filter("doc_id >= 40"))
+    ids = sum(len(x) for _, x in expected(rows, WORD, 2))
+    got = packing.pack(halves, WORD, window=1024, shard=ids // 3).collect()
+    assert sum(r["length"] for r in got) == ids
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    assert sum(bool(seqs[t] & seqs[40 + t]) for t in range(40)) >= 30
