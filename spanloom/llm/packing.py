@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import only, release, store, trim
 from .tokens import tokenized
 
-WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 21, 16, 1.5, 0.75
+WINDOW, SHARD, K1, B = 4096, 1 << 21, 1.5, 0.75
 #: Lexical groups: dimensions of the hashed term weights, documents fitted to, groups a shard and in all, rounds.
 DIMENSIONS, FITTED, FINE, GROUPS, ROUNDS = 256, 20_000, 8, 4096, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -140,19 +140,14 @@ class Index:
         self.n = docs
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's TERMS weightiest terms, best first."""
-        a, z = self.own[seed], self.own[seed + 1]
-        terms, weights = self.terms[a:z], self.weights[a:z]
-        if z - a > TERMS:
-            terms = terms[np.argpartition(weights, -TERMS)[-TERMS:]]
-        spans = [(self.starts[t], self.starts[t + 1]) for t in terms]
+        """All unused documents that share a term with the seed, best first by all of its terms."""
+        terms = self.terms[self.own[seed] : self.own[seed + 1]]
+        spans = [slice(x, y) for x, y in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist(), strict=True)]
         if not spans:
             return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.docs[x:y] for x, y in spans]), np.concatenate([self.scores[x:y] for x, y in spans]), self.n)
+        score = np.bincount(np.concatenate([self.docs[x] for x in spans]), np.concatenate([self.scores[x] for x in spans]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score > 0)
-        if len(found) > 64:
-            found = found[np.argpartition(score[found], -64)[-64:]]
         return found[np.lexsort((found, -score[found]))]
 
 
@@ -188,7 +183,7 @@ def fill(index: Index, lengths: np.ndarray, window: int = WINDOW):
         if rest == 0:
             seed = None
         if rest == 0 and room < window and not queue:
-            queue = [int(k) for k in index.neighbours(done, unused)[::-1]]
+            queue = index.neighbours(done, unused)[::-1].tolist()
     if room < window:  # the last window's pieces, cut again into runs of a power of two
         last = [p for p in pieces if p[3] == seq]
         pieces = pieces[: len(pieces) - len(last)]

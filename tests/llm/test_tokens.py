@@ -117,3 +117,13 @@ def test_neighbours_of_other_splits_share_windows(spark):
     for r in got:
         seqs.setdefault(r["doc_id"], set()).add(r["sequence_id"])
     assert sum(bool(seqs[t] & seqs[40 + t]) for t in range(40)) >= 30
+
+
+def test_neighbours_by_all_terms_and_all_hits():
+    """A seed of 100 equally rare terms: document 1 shares 90 of them, and 100 more documents share one each."""
+    seed = np.arange(100)
+    docs = [seed, np.arange(10, 100), *(np.array([k, *range(1000 + 89 * k, 1089 + 89 * k)]) for k in range(100))]
+    ends = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    index = packing.Index(np.concatenate(docs).astype(np.int64), ends, np.ones(12000, np.float32), 90.0)
+    got = index.neighbours(0, np.arange(len(docs)) > 0).tolist()
+    assert got[0] == 1 and sorted(got) == list(range(1, 102))
