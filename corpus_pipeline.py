@@ -12,6 +12,9 @@ from spanloom.llm import mixing, neardup, packing, quality, repeats
 from spanloom.llm.common import store
 from spanloom.llm.queries import table, vocabulary
 
+#: A passage of 51 words has 101 bytes at least: 51 of one byte each and what separates them.
+PASSAGE = 101
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and the decision list learned from `labels`."""
@@ -25,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes or more that occur again."""
-    return repeats.strip_repeats(docs)
+    """Texts without the strings of PASSAGE bytes or more that occur again, so without repeated passages of over 50 words."""
+    return repeats.strip_repeats(docs, PASSAGE)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Removal of long byte strings that occur again, by suffix arrays of anchored contexts.
 
-Every window of LENGTH bytes has one anchor: its least-hashed run of GRAM bytes, the leftmost of equals.
+Every window of LENGTH bytes has one anchor: its least-hashed run of GRAM bytes (fewer for a short length), the leftmost of equals.
 Equal windows have equal anchors, so windows are compared only within groups of one anchor hash, and a
 group whose anchor occurs once is done. A context is the text of the consecutive windows that share an
 anchor, and every window belongs to exactly one. Equal contexts are counted, not repeated. Groups are
@@ -42,6 +42,11 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
+def gram_for(length: int) -> int:
+    """GRAM, or a smaller power of two for a short `length`, whose windows would else have hardly a choice of anchors."""
+    return min(GRAM, 1 << max(length // 3, 1).bit_length() - 1)
+
+
 def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, first start, starts, anchor hash) of each context in the texts data[offsets[k]:offsets[k+1]]."""
     none = np.zeros(0, np.int64)
@@ -105,7 +110,7 @@ def anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     base = data[begin[a] : end[z - 1]]
                     view = memoryview(np.ascontiguousarray(base))
                     edge = np.append(begin[a:z], end[z - 1]) - begin[a]
-                    k, at, starts, fp = anchored(base, edge, length)
+                    k, at, starts, fp = anchored(base, edge, length, gram_for(length))
                     low = edge[k] + at
                     c = np.fromiter((_digest(view[x:y]) for x, y in zip(low.tolist(), (low + starts + length - 1).tolist(), strict=True)), np.int64, len(low))
                     doc = text[a + k]

@@ -27,3 +27,16 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
+
+
+def test_passages_of_51_words_go(spark, sf):
+    """Of common and of the shortest words, between texts that share nothing else."""
+    rows = []
+    for p, word in enumerate(("w{:02d}xyz", "{}")):
+        passage = " ".join(word.format(chr(97 + k % 26) if p else k) for k in range(51))
+        rows += [(10 * p + k, " ".join(f"{p}{k}u{n * 7919 + k}" for n in range(60)) + f" {passage} " + " ".join(f"{k}{p}v{n * 104729 + k}" for n in range(60)), "en", "s", 0) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in P.suffix_dedup(spark, docs, sf).collect()}
+    for doc, text, *_ in rows:
+        words = text.split(" ")
+        assert got[doc] == " ".join(words[:60]) + " ".join(words[-60:])
