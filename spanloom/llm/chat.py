@@ -14,10 +14,14 @@ ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"), ("\n", "\\n"))
 def fingerprint(record: Column) -> Column:
     """64-bit hash of a JSON record's nested field paths.
 
-    The record is parsed to a variant; its schema string, with scalar types struck out, lists each
+    Texts are emptied, and of equal flat objects in a row one stays, so that no parser's or variant's size limit
+    is met. What is left is parsed to a variant; its schema string, with scalar types struck out, lists each
     field path once whatever the values, so records of one layout share one fingerprint.
     """
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("__"))
+    bare = F.regexp_replace(plain, r'"(?:([^"]*+)(?="\s*+:)|[^"]*+)"', '"$1"')
+    bare = F.regexp_replace(bare, r"(\{[^{}\[\]]*+\})\s*+,\s*+(?=\1)", "")
+    shape = F.schema_of_variant(F.try_parse_json(bare))
     for scalar in (r"DECIMAL\(\d+,\d+\)", "VOID|STRING|BIGINT|DOUBLE|BOOLEAN|FLOAT|BINARY|DATE|TIMESTAMP_NTZ|TIMESTAMP|UUID"):
         shape = F.regexp_replace(shape, rf"(?<=[ <]|^)(?:{scalar})(?=[,>]|$)", "_")
     return F.xxhash64(F.coalesce(shape, F.lit("")))
@@ -57,11 +61,11 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     out = records.withColumn("__f", fingerprint(F.col(record)))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for m in mappings:
-        read = f"from_json(`{record}`, '{m.schema}')"
+        read = f"from_json(`{record}`, '{m.schema}, __bad string', map('columnNameOfCorruptRecord', '__bad', 'maxStringLen', '{2**31 - 1}'))"
         here = F.col("__f") == F.lit(marks[m.name])
         layout = F.when(here, F.lit(m.name)).otherwise(layout)
-        turns = F.when(here, F.expr(f"get(transform(array({read}), r -> {m.turns}), 0)")).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns).drop("__f")
+        turns = F.when(here, F.expr(f"get(transform(filter(array({read}), r -> r.__bad is null), r -> {m.turns}), 0)")).otherwise(turns)
+    return out.withColumn("turns", turns).withColumn("layout", F.when(F.col("turns").isNotNull(), layout)).drop("__f")
 
 
 @dataclass(frozen=True)

@@ -77,6 +77,24 @@ def test_layouts(spark):
         assert (r["turns"] and [t["role"] for t in r["turns"]]) == roles and (r["turns"] and [t["text"] for t in r["turns"]]) == texts
 
 
+def test_long_texts_and_records(spark):
+    """A text beyond a JSON parser's 20,000,000 characters, and a record beyond a variant's 128 MiB."""
+    for turns, chars in ((1, 25_000_000), (1500, 100_000)):
+        rows = spark.sql(f"""select 1 as k, to_json(struct(transform(sequence(1, {turns}), i -> struct('user' as role, repeat('x', {chars}) as text)) as turns)) as record""")
+        got = chat.canonical_turns(rows).selectExpr("layout", "size(turns) as n", "aggregate(turns, 0L, (s, t) -> s + length(t.text)) as chars").collect()
+        assert [tuple(r) for r in got] == [("turns", turns, turns * chars)]
+    many = spark.sql("select 1 as conv_id, 0 as turn, 'assistant' as role, repeat('x', 25000000) as text")
+    (r,) = chat.digests(chat.format_chats(chat.nest_turns(many))).collect()
+    assert (r["layout"], r["n_turns"], r["loss_chars"]) == ("turns", 1, 25_000_000)
+
+
+def test_emptied_texts_keep_the_layout(spark):
+    records = [r'{"prompt": "a\\", "completion": "\": {[}"}', '{"turns": [{"role": ":", "text": "}, {"}, {"role": "x", "text": ": \\" ,"}]}', r'{"prompt": "\q", "completion": "c"}', r'{"prom\\pt": "p", "completion": "c"}']
+    got = chat.canonical_turns(spark.createDataFrame(list(enumerate(records)), "k int, record string")).orderBy("k").collect()
+    assert [r["layout"] for r in got] == ["prompt", "turns", None, None]
+    assert [[t["text"] for t in r["turns"] or ()] for r in got] == [["a\\", '": {[}'], ["}, {", ': " ,'], [], []]
+
+
 def test_shards(docs, none):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = sharding.balanced_shards(docs, 4).collect()
