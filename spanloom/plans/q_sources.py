@@ -374,8 +374,9 @@ def sam15_query_subset(spark, d):
 # ---- span job ------------------------------------------------------------------------------------------
 
 
-def texts(spark, d):
-    return section_texts(fields(spark, d), 3000)
+def texts(spark, d, most=3000):
+    """3,000 characters are the span cache's default; the embedding path reads 32,768."""
+    return section_texts(fields(spark, d), most)
 
 
 @query()
@@ -404,12 +405,12 @@ def spn14_cached_span_embeddings(spark, d):
 
 @query()
 def spn15_span_embeddings(spark, d):
-    return encoding.encode(encoding.spans_of(texts(spark, d), "encoder_token"))
+    return encoding.encode(encoding.spans_of(texts(spark, d, 32768), "encoder_token"))
 
 
 @query()
 def spn18_embedding_job(spark, d):
-    return encoding.embed_corpus(texts(spark, d), per_section=25, most=2000)
+    return encoding.embed_corpus(texts(spark, d, 32768), most=5_000_000)
 
 
 @query()

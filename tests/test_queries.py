@@ -42,3 +42,18 @@ def test_matches_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"spn2_spans", "spn3_phrases", "spn14_cached_span_embeddings", "spn20_passage_spans"}))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_embedding_job_takes_whole_sections(spark, sf):
+    """Spans beyond character 3,000, more than 25 a section and 2,000 in all."""
+    got = QUERIES["spn18_embedding_job"](spark, sf).groupBy("doc_id", "section").agg({"*": "count", "start": "max"}).collect()
+    assert sum(r["count(1)"] for r in got) > 2000 and max(r["count(1)"] for r in got) > 25 and max(r["max(start)"] for r in got) > 3000
+    assert QUERIES["spn15_span_embeddings"](spark, sf).agg({"start": "max"}).first()[0] > 3000
+
+
+def test_budgets_of_the_embedding_job(spark, sf):
+    from spanloom.operators import encoding
+
+    texts = q_sources.texts(spark, sf).filter("doc_id < 20")
+    got = encoding.embed_corpus(texts, per_section=5).groupBy("doc_id", "section").count().agg({"count": "max"}).first()[0]
+    assert got == 5 and encoding.embed_corpus(texts, most=30).count() == 30
