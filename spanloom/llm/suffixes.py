@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Letters up to which buckets are filled in waves of array code.
+WAVES = 1024
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; equal neighbours take the type of what follows."""
@@ -73,40 +76,71 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, heads: np.ndarray
     return sa
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a reduced string, whose alphabet is too large for bucket waves: names are
-    doubled in length until they are distinct, and only those that still tie are sorted again."""
-    n, rank, h = len(names), names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    values = rank[order]
-    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-    size = np.diff(np.append(first, n))
-    tied = np.flatnonzero(np.repeat(size > 1, size))  # places in order
+def _chained(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places `at` in order of the codes from each on. A chain of codes ends at one that no other place
+    has, so places that still tie have not reached their ends; they are compared at twice the distance."""
+    key = code[at] * (int(code.max()) + 1) + code[at + 1]
+    by = np.argsort(key)
+    order, key, h = at[by], key[by], 2
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(order)))
+    tied = np.flatnonzero(np.repeat(size > 1, size))
+    if len(tied):  # rank: the code, then the first place of those that tie
+        wide = len(at) + 1
+        rank = code * wide
+        rank[order] += np.repeat(first, size) + 1
     while len(tied):
-        at = order[tied]
-        nxt = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        by = np.lexsort((nxt, rank[at]))
-        at, own, nxt = at[by], rank[at][by], nxt[by]
-        order[tied] = at
-        new = np.concatenate(([True], (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])))
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(at)))
-        rank[at] = np.repeat(tied[begin], size)
+        here = order[tied]
+        nxt, own = rank[here + h], rank[here]
+        by = np.lexsort((nxt, own))
+        here, own, nxt = here[by], own[by], nxt[by]
+        order[tied] = here
+        begin = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1]))))
+        size = np.diff(np.append(begin, len(here)))
+        rank[here] = own // wide * wide + np.repeat(tied[begin], size) + 1
         tied, h = tied[np.repeat(size > 1, size)], h * 2
     return order
 
 
+def _induce_chains(s: np.ndarray, small: np.ndarray, lms: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """The same for strings of names, whose buckets are too many and too small for waves.
+
+    A larger-type suffix is its characters up to the next leftmost smaller position, whose place among its
+    like is known: a chain with an end of its own. All chains are sorted at once, and then, with the
+    larger-type suffixes as ends, those of the smaller type.
+    """
+    n, k = len(s), len(heads)
+    within = lambda x, many: np.arange(len(x)) - (np.cumsum(many) - many)[s[x]]  # noqa: E731  (places in order, by bucket)
+    code, size = np.zeros(n, np.int64), np.bincount(s[lms], minlength=k)
+    base = np.arange(k) + np.cumsum(size) - size  # in a bucket the larger type goes before the smaller
+    larger, smaller = np.flatnonzero(~small), np.flatnonzero(small)[:-1]  # the last one is the end mark
+    code[larger] = base[s[larger]]
+    code[lms] = base[s[lms]] + 1 + within(lms, size)
+    larger = _chained(code, larger)
+    size = np.bincount(s[larger], minlength=k)
+    base = np.arange(k) + np.cumsum(size) - size
+    code[larger] = base[s[larger]] + within(larger, size)
+    code[smaller] = (base + size)[s[smaller]]
+    smaller = _chained(code, smaller)
+    sa = np.empty(n, np.int32)
+    sa[heads[s[larger]] + within(larger, size)] = larger
+    size = np.bincount(s[smaller], minlength=k)
+    sa[(tails - size)[s[smaller]] + within(smaller, size)] = smaller
+    sa[0] = n - 1
+    return sa
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of small non-negative integers that end with the only 0.
 
     Suffixes are classified as smaller or larger than the next; the substrings between leftmost smaller
-    ones are sorted by induction and named; if names repeat, the string of names is sorted in turn; the
-    sorted leftmost smaller suffixes induce all others in linear time.
+    ones are sorted by induction and named; if names repeat, the string of names, at most half as long,
+    is sorted in the same way; the sorted leftmost smaller suffixes induce all others in linear time.
     """
     if len(s) == 1:
         return np.zeros(1, np.int32)
     k = int(s.max()) + 1
+    induce = _induce if k <= WAVES else _induce_chains
     count = np.bincount(s, minlength=k)
     tails = np.cumsum(count)
     heads = tails - count
@@ -114,7 +148,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
-    sa = _induce(s, small, lms[np.argsort(s[lms], kind="stable")], heads, tails)
+    sa = induce(s, small, lms[np.argsort(s[lms], kind="stable")], heads, tails)
     order = sa[is_lms[sa]]
     # names: equal substrings (up to and with the next leftmost smaller one) get equal numbers
     number = np.full(len(s), -1, np.int32)
@@ -130,9 +164,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     names = np.empty(len(lms), np.int64)
     names[by] = np.cumsum(fresh) - 1
     if not fresh.all():
-        order = lms[_ranked(names)]
+        order = lms[suffix_array(names)]
     # within a bucket the sorted order stays; buckets ascend by first character
-    return _induce(s, small, order, heads, tails)
+    return induce(s, small, order, heads, tails)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, breaks: np.ndarray | None = None) -> np.ndarray:
