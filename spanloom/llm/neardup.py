@@ -42,9 +42,9 @@ def _mixed(x: np.ndarray, by: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, words before each text): lower-cased A-Z, words of non-space bytes."""
-    data = _LOWER[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, words before each text): A-Z in lower case, words of non-space bytes."""
+    data = _LOWER[data] if lower else data
     word = ~_SPACE[data]
     start = word.copy()
     start[1:] &= ~word[:-1]

@@ -33,7 +33,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    """The 400-byte strings that repeat are removed; passages of over 50 words that repeat are counted beside."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), words=51)
 
 
 def op4_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
-"""Removal of long byte strings that occur again, by suffix arrays of anchored contexts.
+"""Removal of long strings that occur again, by suffix arrays of anchored contexts.
 
-Every window of LENGTH bytes has one anchor: its least-hashed run of GRAM bytes (fewer for a short length), the leftmost of equals.
+What repeats is a window of so many bytes, or of so many words whatever white space parts them. Every window
+has one anchor: its least-hashed gram (a run of a few dozen bytes or a few words), the leftmost of equals.
 Equal windows have equal anchors, so windows are compared only within groups of one anchor hash, and a
 group whose anchor occurs once is done. A context is the text of the consecutive windows that share an
-anchor, and every window belongs to exactly one. Equal contexts are counted, not repeated. Groups are
-dealt over shards by anchor; a shard's distinct contexts are sorted by induction, and neighbours in its
-suffix array with a common prefix of LENGTH bytes are repeats.
+anchor, and every window belongs to exactly one. Equal contexts are counted, not repeated; a group of one
+context that occurs again needs no sorting, as all its windows do. The other groups are dealt over shards by
+anchor; a shard's distinct contexts are sorted by induction, and neighbours in its suffix array with a
+window in common are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, store, trim
-from .neardup import _mixed
+from .neardup import _mixed, word_hashes
 from .suffixes import permuted_prefixes, suffix_array
-from .tokens import flat, steps
+from .tokens import _SPACE, flat, steps
 
-LENGTH, GRAM = 400, 64
-#: Bytes of texts hashed at a time, of one segment of a long text, and of contexts in one suffix array.
-STEP, SEGMENT, SHARD = 1 << 18, 1 << 22, 3 << 20
+LENGTH, GRAM, WORD_GRAM = 400, 64, 8
+#: Bytes (or words) of texts hashed at a time, of one segment of a long text, bytes whose words are hashed at a
+#: time, and bytes of contexts in one suffix array.
+STEP, SEGMENT, PIECE, SHARD = 1 << 18, 1 << 22, 1 << 20, 3 << 20
 #: Contexts of one anchor beyond which windows are counted by digest over the cluster, not in one shard.
 GIANT = 4000
 
@@ -32,9 +36,48 @@ _BYTES = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, 256, dtyp
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Windows:
+    """Windows of `size` bytes, or of `size` words."""
+
+    size: int
+    words: bool = False
+
+    @property
+    def gram(self) -> int:
+        """Units of a gram, a power of two: fewer for a short window, which would else have hardly a choice of anchors."""
+        return min(WORD_GRAM if self.words else GRAM, 1 << max(self.size // 3, 1).bit_length() - 1)
+
+    def edges(self, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) in bytes of the first `n` windows of a context; each word of one ends with a blank."""
+        if not self.words:
+            return np.arange(n), np.arange(n) + self.size
+        begin = np.append(0, np.flatnonzero(text == 32) + 1)
+        return begin[:n], begin[self.size : self.size + n]
+
+
+def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of each word of one text."""
+    edge = np.diff(np.concatenate(([True], _SPACE[text], [True])).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, words before each text); one long text is hashed in pieces cut at white space."""
+    if len(data) <= PIECE or len(offsets) > 2:
+        return word_hashes(data, offsets, lower=False)
+    gaps, out, a = np.append(np.flatnonzero(_SPACE[data]), len(data)), [], 0
+    while a < len(data):
+        z = int(gaps[min(np.searchsorted(gaps, a + PIECE), len(gaps) - 1)])
+        out.append(word_hashes(data[a:z], np.array([0, z - a]), lower=False)[0])
+        a = z if z > a else len(data)
+    values = np.concatenate(out)
+    return values, np.array([0, len(values)])
+
+
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the `gram` (a power of two) bytes from each place, by doubling."""
-    h, size, by = _BYTES[data], 1, int(_ODD)
+    """Hash of the `gram` (a power of two) bytes, or word hashes, from each place, by doubling."""
+    h, size, by = _BYTES[data] if data.dtype == np.uint8 else data, 1, int(_ODD)
     while size < gram:
         h = h[:-size] * np.uint64(by) + h[size:]
         size, by = size * 2, by * by % (1 << 64)
@@ -42,11 +85,6 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def gram_for(length: int) -> int:
-    """GRAM, or a smaller power of two for a short `length`, whose windows would else have hardly a choice of anchors."""
-    return min(GRAM, 1 << max(length // 3, 1).bit_length() - 1)
-
-
 def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, first start, starts, anchor hash) of each context in the texts data[offsets[k]:offsets[k+1]]."""
     none = np.zeros(0, np.int64)
@@ -87,35 +125,42 @@ def _digest(x) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
-def anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A row for each context of rows (id, th, text): place, number of windows, anchor hash, context digest."""
+def anchors(rows: DataFrame, windows: Windows) -> DataFrame:
+    """A row for each context of rows (id, th, text): place, number of windows, anchor hash, context digest.
+    Places count bytes or words."""
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("starts", pa.int32()), ("fp", pa.int64()), ("c", pa.int64())])
+    length, gram = windows.size, windows.gram
+
+    def each(data, offsets, ids, ths):
+        text, begin, end = segments(offsets, length)
+        # texts lie side by side, so a run of short ones is one slice; a piece of a long one is its own
+        sizes = np.concatenate(([0], np.cumsum(end - begin)))
+        for i, j in steps(sizes, STEP):
+            a, runs = i, []
+            while a < j:
+                z = a + 1
+                while z < j and begin[z] == end[z - 1]:
+                    z += 1
+                runs.append((a, z))
+                a = z
+            for a, z in runs:
+                base = data[begin[a] : end[z - 1]]
+                view, wide = memoryview(np.ascontiguousarray(base).view(np.uint8)), base.itemsize
+                edge = np.append(begin[a:z], end[z - 1]) - begin[a]
+                k, at, starts, fp = anchored(base, edge, length, gram)
+                low = edge[k] + at
+                c = np.fromiter((_digest(view[x:y]) for x, y in zip((low * wide).tolist(), ((low + starts + length - 1) * wide).tolist(), strict=True)), np.int64, len(low))
+                doc = text[a + k]
+                at = at + begin[a + k] - offsets[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(fp), pa.array(c)], schema=schema)
 
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(2))
             ids, ths = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            text, begin, end = segments(offsets, length)
-            # texts lie side by side, so a run of short ones is one slice; a piece of a long one is its own
-            sizes = np.concatenate(([0], np.cumsum(end - begin)))
-            for i, j in steps(sizes, STEP):
-                a, runs = i, []
-                while a < j:
-                    z = a + 1
-                    while z < j and begin[z] == end[z - 1]:
-                        z += 1
-                    runs.append((a, z))
-                    a = z
-                for a, z in runs:
-                    base = data[begin[a] : end[z - 1]]
-                    view = memoryview(np.ascontiguousarray(base))
-                    edge = np.append(begin[a:z], end[z - 1]) - begin[a]
-                    k, at, starts, fp = anchored(base, edge, length, gram_for(length))
-                    low = edge[k] + at
-                    c = np.fromiter((_digest(view[x:y]) for x, y in zip(low.tolist(), (low + starts + length - 1).tolist(), strict=True)), np.int64, len(low))
-                    doc = text[a + k]
-                    at = at + begin[a + k] - offsets[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(fp), pa.array(c)], schema=schema)
+            for i, j in steps(offsets, PIECE) if windows.words else [(0, b.num_rows)]:
+                part, edge = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                yield from each(*(word_values(part, edge) if windows.words else (part, edge)), ids[i:j], ths[i:j])
 
     return rows.mapInArrow(run, ANCHORS)
 
@@ -123,8 +168,9 @@ def anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 CONTEXTS = "fp long, c long, m long, starts int, text binary"
 
 
-def contexts(rows: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The text of each wanted (id, th, at, starts, fp, c, m), cut from its row; a row's wants go with it."""
+def contexts(rows: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
+    """The text of each wanted (id, th, at, starts, fp, c, m), cut from its row; a row's wants go with it.
+    Of words, a blank follows each."""
     each = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "starts", "fp", "c", "m")).alias("wants"))
     schema = pa.schema([("fp", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("starts", pa.int32()), ("text", pa.binary())])
 
@@ -132,30 +178,41 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
         for b in batches:
             data, offsets = flat(b.column(0))
             for k, wants in enumerate(b.column(1).to_pylist()):
-                view = memoryview(data[offsets[k] : offsets[k + 1]])
-                yield pa.RecordBatch.from_pylist([{"fp": w["fp"], "c": w["c"], "m": w["m"], "starts": w["starts"], "text": bytes(view[w["at"] : w["at"] + w["starts"] + length - 1])} for w in wants], schema)
+                text = data[offsets[k] : offsets[k + 1]]
+                view = memoryview(text)
+                if windows.words:
+                    begin, end = word_bounds(text)
+                    cut = lambda at, n: b" ".join(bytes(view[begin[at] : end[at + n - 1]]).split()) + b" "  # noqa: B023, E731
+                else:
+                    cut = lambda at, n: bytes(view[at : at + n])  # noqa: B023, E731
+                yield pa.RecordBatch.from_pylist([{"fp": w["fp"], "c": w["c"], "m": w["m"], "starts": w["starts"], "text": cut(w["at"], w["starts"] + windows.size - 1)} for w in wants], schema)
 
     return rows.join(each, ["id", "th"]).select("text", "wants").mapInArrow(run, CONTEXTS)
 
 
-def repeated_starts(texts: list[bytes], starts: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each context, its window starts whose LENGTH bytes occur at least twice among all contexts'
-    windows, a context's windows counting `copies` times."""
+def repeated_starts(texts: list[bytes], starts: np.ndarray, copies: np.ndarray, windows: Windows = Windows(LENGTH)) -> list[np.ndarray]:
+    """For each context, its windows that occur at least twice among all contexts' windows, a context's windows
+    counting `copies` times."""
     sizes = np.array([len(t) + 1 for t in texts])
     begin = np.cumsum(sizes) - sizes
-    s = np.frombuffer(b"\xff".join(texts) + b"\xff\xfe", np.uint8).copy()
-    s = np.where(s == 0xFF, 1, np.where(s == 0xFE, 0, s + 2)).astype(np.uint8)  # 0xFE and 0xFF never occur in UTF-8
+    s = np.frombuffer(b"\xff".join(texts) + b"\xff\xfe", np.uint8)
+    own = [b + windows.edges(s[b : b + n - 1], k)[0] for b, n, k in zip(begin.tolist(), sizes.tolist(), starts.tolist(), strict=True)]
+    if windows.words:  # as many bytes as lie before the end of the last word of a window from each place
+        blanks = np.append(np.flatnonzero(s == 32), np.full(windows.size, 2 * len(s)))
+        reach = blanks[np.searchsorted(blanks[: len(blanks) - windows.size], np.arange(len(s))) + windows.size - 1] + 1 - np.arange(len(s))
+    else:
+        reach = np.full(len(s), windows.size)
+    s = np.where(s == 0xFF, 1, np.where(s == 0xFE, 0, s + np.uint8(2))).astype(np.uint8)  # 0xFE and 0xFF never occur in UTF-8
     sa = suffix_array(s)
-    common = permuted_prefixes(s, sa, int(sizes.max()) + 8, begin)[sa] >= length
+    common = permuted_prefixes(s, sa, int(sizes.max()) + 8, begin)[sa] >= reach[sa]
     weight = np.zeros(len(s), np.int64)
-    own = np.repeat(begin, starts) + np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts)
-    weight[own] = np.repeat(copies, starts)
+    weight[np.concatenate(own)] = np.repeat(copies, starts)
     common[0] = False
     first = np.flatnonzero(~common)
     total = np.add.reduceat(weight[sa], first)
     twice = np.zeros(len(s), bool)
     twice[sa] = np.repeat(total >= 2, np.diff(np.append(first, len(s))))
-    return [np.flatnonzero(twice[b : b + n]) for b, n in zip(begin.tolist(), starts.tolist(), strict=True)]
+    return [np.flatnonzero(twice[o]) for o in own]
 
 
 def _runs(starts: np.ndarray) -> list[int]:
@@ -170,12 +227,12 @@ FOUND = "fp long, c long, runs array<int>"
 _FOUND = pa.schema([("fp", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
 
-def sorted_shards(texts: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def sorted_shards(texts: DataFrame, windows: Windows, shard: int = SHARD) -> DataFrame:
     """The repeated starts of each context (fp, c, m, starts, text), from suffix arrays of whole groups."""
 
     def run(batches):
         def close(held):
-            got = repeated_starts([h[4] for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]), length)
+            got = repeated_starts([h[4] for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]), windows)
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([_runs(g) for g in got], pa.list_(pa.int32()))], schema=_FOUND)
 
         held, size, last = [], 0, None
@@ -196,7 +253,7 @@ def sorted_shards(texts: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     return texts.repartition(parts, "fp").sortWithinPartitions("fp", "c").mapInArrow(run, FOUND)
 
 
-def counted_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def counted_windows(texts: DataFrame, windows: Windows) -> DataFrame:
     """The same for groups too large for a shard: their windows are counted by 128-bit digest."""
     schema = pa.schema([("fp", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("at", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
@@ -204,7 +261,8 @@ def counted_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 view, n = memoryview(row[4]), row[3]
-                d = np.frombuffer(b"".join(hashlib.blake2b(view[k : k + length], digest_size=16).digest() for k in range(n)), "<i8").reshape(n, 2)
+                begin, end = windows.edges(np.frombuffer(view, np.uint8), n)
+                d = np.frombuffer(b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(begin.tolist(), end.tolist(), strict=True)), "<i8").reshape(n, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row[0])), pa.array(np.full(n, row[1])), pa.array(np.full(n, row[2])), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], schema=schema)
 
     rows = texts.dropDuplicates(["fp", "c"]).mapInArrow(run, "fp long, c long, m long, at int, w1 long, w2 long")
@@ -213,9 +271,9 @@ def counted_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return back.select("fp", "c", F.flatten(F.transform("ats", lambda x: F.array(x, x))).alias("runs"))
 
 
-def _spans(found: list[dict] | None, length: int) -> np.ndarray:
-    """Merged [begin, end) byte spans of a text's repeated windows."""
-    spans = np.array([(f["at"] + f["runs"][k], f["at"] + f["runs"][k + 1] + length) for f in found or () for k in range(0, len(f["runs"]), 2)], np.int64).reshape(-1, 2)
+def _spans(found: list[dict] | None, size: int) -> np.ndarray:
+    """Merged [begin, end) spans, in bytes or words, of a text's repeated windows."""
+    spans = np.array([(f["at"] + f["runs"][k], f["at"] + f["runs"][k + 1] + size) for f in found or () for k in range(0, len(f["runs"]), 2)], np.int64).reshape(-1, 2)
     if not len(spans):
         return spans
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -224,17 +282,20 @@ def _spans(found: list[dict] | None, length: int) -> np.ndarray:
     return np.stack((spans[first, 0], far[np.append(first[1:] - 1, len(spans) - 1)]), 1)
 
 
-def _found_spans(rows: DataFrame, length: int) -> DataFrame:
+def _found_spans(rows: DataFrame, windows: Windows) -> DataFrame:
     """(id, th, found): where each of the rows (id, th, text) has windows that repeat."""
-    marks = store(anchors(rows, length), "anchors", "zstd")
+    marks = store(anchors(rows, windows), "anchors", "zstd")
     groups = marks.groupBy("fp", "c").agg(F.count(F.lit(1)).alias("m"), *(F.first(k).alias(k) for k in ("id", "th", "at", "starts")))
     shared = groups.groupBy("fp").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2").drop("total")
     wanted = store(groups.join(shared, "fp"), "wanted", "zstd")
-    texts = store(contexts(rows, wanted, length).join(wanted.filter(F.col("kinds") > GIANT).select(F.col("fp").alias("big")).distinct(), F.col("fp") == F.col("big"), "left"), "contexts", "zstd")
-    found = sorted_shards(texts.filter("big is null").drop("big"), length)
+    whole = wanted.filter("kinds = 1").select("fp", "c", F.array(F.lit(0), F.col("starts") - 1).alias("runs"))
+    wanted = wanted.filter("kinds > 1")
+    giant = wanted.filter(F.col("kinds") > GIANT).select(F.col("fp").alias("big")).distinct()
+    texts = store(contexts(rows, wanted, windows).join(giant, F.col("fp") == F.col("big"), "left"), "contexts", "zstd")
+    found = sorted_shards(texts.filter("big is null").drop("big"), windows)
     if wanted.filter(F.col("kinds") > GIANT).limit(1).count():
-        found = found.unionByName(counted_windows(texts.filter("big is not null").drop("big"), length))
-    found = store(found.filter(F.size("runs") > 0), "found", "zstd")
+        found = found.unionByName(counted_windows(texts.filter("big is not null").drop("big"), windows))
+    found = store(found.filter(F.size("runs") > 0).unionByName(whole), "found", "zstd")
     return marks.join(found, ["fp", "c"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "runs")).alias("found"))
 
 
@@ -243,21 +304,31 @@ def _keyed(docs: DataFrame) -> tuple:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th")
 
 
-def _kept(text: np.ndarray, found: list[dict] | None, length: int) -> tuple[bytes, int]:
-    """(what stays of a text, number of removed spans)."""
-    cut = _spans(found, length)
+def _kept(text: np.ndarray, found: list[dict] | None, windows: Windows) -> tuple[bytes, int]:
+    """(what stays of a text, number of removed spans). With a span of words goes the white space after it."""
+    cut = _spans(found, windows.size)
     if not len(cut):
         return text.tobytes(), 0
+    if windows.words:
+        begin, end = word_bounds(text)
+        cut = np.append(begin, end[-1])[cut]
     edges = np.concatenate(([0], cut.ravel(), [len(text)])).reshape(-1, 2)
     return b"".join(text[x:y].tobytes() for x, y in edges.tolist()), len(cut)
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs`, all its columns, with texts less their repeated spans (see remove_repeats); bytes of cut
-    characters go too, and n_chars, if there is one, is counted anew. Null texts stay null."""
+def strip_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """`docs`, all its columns, with texts less their repeated spans (see remove_repeats): of `length` bytes, whose
+    cut characters go too, or, if `words` is given, of so many words, whatever white space is between them.
+    n_chars, if there is one, is counted anew.
+
+    Defined cases: a null text stays null; a text shorter than a window stays as it is, and one that repeats as a
+    whole becomes empty; equal rows are each other's copies, whether or not they share a doc_id; a null doc_id
+    stays null; an empty table gives no rows; a text of any length is worked on in pieces of SEGMENT.
+    """
+    windows = Windows(words, True) if words else Windows(length)
     id_, th = _keyed(docs)
     names = docs.columns
-    spans = _found_spans(docs.select(id_, th, F.col("text").cast("binary").alias("text")), length).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("found").alias("__found"))
+    spans = _found_spans(docs.select(id_, th, F.col("text").cast("binary").alias("text")), windows).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("found").alias("__found"))
     met = docs.select(*(F.col(f"`{c}`") for c in names), id_.alias("__id"), th.alias("__th")).join(spans, ["__id", "__th"], "left").select(*(F.col(f"`{c}`") for c in names), "__found")
 
     def run(batches):
@@ -267,7 +338,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             real = b.column(here).is_valid().to_pylist()
             for i, j in steps(offsets, 4 << 20):
                 found = b.column(len(names)).slice(i, j - i).to_pylist()
-                texts = [_kept(data[offsets[k] : offsets[k + 1]], f, length)[0].decode(errors="ignore") if real[k] else None for k, f in zip(range(i, j), found, strict=True)]
+                texts = [_kept(data[offsets[k] : offsets[k + 1]], f, windows)[0].decode(errors="ignore") if real[k] else None for k, f in zip(range(i, j), found, strict=True)]
                 cols = [pa.array(texts, pa.string()) if k == here else b.column(k).slice(i, j - i) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         trim()
@@ -277,12 +348,14 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False, words: int | None = None) -> DataFrame:
     """Each row of docs (doc_id, text) with n_bytes, n_removed, n_spans and kept_sha256, less every byte
     covered by `length` bytes that also start anywhere else in the table; with `keep_bytes`, `kept` too.
+    With `words`, also n_passages and passage_words: runs, and words in them, that are covered by so many
+    words that also start anywhere else, whatever white space is between them; these are counted, not removed.
 
     Matches never cross rows, overlaps count, and strings are judged on the input. `length` exceeds GRAM.
 
@@ -293,20 +366,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fal
     """
     docs = only(docs, {"doc_id": "long", "text": "string"})
     rows = docs.select(*_keyed(docs), F.col("text").cast("binary").alias("text"))
-    spans = _found_spans(rows, length)
-    fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    windows, passages = Windows(length), Windows(words or 1, True)
+    fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("passage_words", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(1))
             out = []
-            for k, got in enumerate(b.column(2).to_pylist()):
+            for k, (got, more) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 text = data[offsets[k] : offsets[k + 1]]
-                kept, cuts = _kept(text, got, length)
-                out.append((len(text), len(text) - len(kept), cuts, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
+                kept, cuts = _kept(text, got, windows)
+                runs = _spans(more, passages.size)
+                out.append((len(text), len(text) - len(kept), cuts, hashlib.sha256(kept).hexdigest(), len(runs), int((runs[:, 1] - runs[:, 0]).sum()), kept if keep_bytes else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
             ids = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([None if i == -(2**63) else i for i in ids], pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(fields)[1:], strict=True))], schema=fields)
 
-    out = rows.join(spans, ["id", "th"], "left").select("id", "text", "found").mapInArrow(run, "doc_id long, " + RESULT)
-    return out if keep_bytes else out.drop("kept")
+    met = rows.join(_found_spans(rows, windows), ["id", "th"], "left")
+    if words:
+        met = met.join(_found_spans(rows, passages).withColumnRenamed("found", "more"), ["id", "th"], "left")
+    else:
+        met = met.withColumn("more", F.lit(None).cast("array<struct<at:int,runs:array<int>>>"))
+    out = met.select("id", "text", "found", "more").mapInArrow(run, "doc_id long, " + RESULT)
+    return out.drop(*([] if keep_bytes else ["kept"]), *([] if words else ["n_passages", "passage_words"]))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -82,6 +83,9 @@ def test_components_both_ways(spark):
 @given(st.lists(st.integers(1, 4), max_size=80), st.integers(1, 3))
 def test_suffix_arrays(text, times):
     s = np.array(text * times + [0], np.uint8)
+    with pytest.MonkeyPatch.context() as m:  # as in strings of names, whatever the alphabet
+        m.setattr(suffixes, "WAVES", 0)
+        assert (suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda k: s[k:].tolist())).all()
     sa, raw = suffixes.suffix_array(s), bytes(s.tolist())
     assert sa.tolist() == sorted(range(len(raw)), key=lambda k: raw[k:])
     got = suffixes.permuted_prefixes(s, sa, 1000)
@@ -107,6 +111,42 @@ def brute_repeats(texts, length):
     return out
 
 
+def brute_passages(texts, n):
+    """(text less its runs of n words that start anywhere else, runs, words in them)."""
+    at = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    words = [[t[a:z] for a, z in w] for t, w in zip(texts, at, strict=True)]
+    seen = Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1))
+    out = []
+    for t, w, spans in zip(texts, words, at, strict=True):
+        gone = {i for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for i in range(k, k + n)}
+        kept = "".join([(t or "")[: spans[0][0] if spans else None], *((t[a : spans[i + 1][0] if i + 1 < len(spans) else z]) for i, (a, z) in enumerate(spans) if i not in gone)])
+        kept += (t or "")[spans[-1][1] :] if spans else ""
+        out.append((kept, len([i for i in gone if i - 1 not in gone]), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize(("giant", "size"), [(None, 51), (0, 51), (None, 3), (None, 1)])
+def test_repeated_words(docs, rows, none, monkeypatch, giant, size):
+    if giant is not None:
+        monkeypatch.setattr(repeats, "GIANT", giant)
+    want = brute_passages([r[1] for r in rows], size)
+    got = repeats.strip_repeats(docs, words=size)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((r[0], w[0] if r[1] is not None else None) for r, w in zip(rows, want, strict=True))
+    counted = repeats.remove_repeats(docs, words=size).collect()
+    assert Counter((r["doc_id"], r["n_passages"], r["passage_words"]) for r in counted) == Counter((r[0], *w[1:]) for r, w in zip(rows, want, strict=True))
+    assert repeats.strip_repeats(none, words=size).count() == 0
+
+
+def test_words_of_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = np.frombuffer(" ".join(f"w{k * 7919 % 1000}" for k in range(5000)).encode() + b"  \n" + b"x" * 3000 + b" end", np.uint8)
+    ends = np.array([0, len(text)])
+    whole, n = repeats.word_values(text, ends)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    parts, m = repeats.word_values(text, ends)
+    assert n.tolist() == m.tolist() == [0, 5002] and (whole == parts).all()
+
+
 @pytest.mark.parametrize("giant", [None, 0])
 def test_repeats(docs, rows, none, monkeypatch, giant):
     if giant is not None:

@@ -1,5 +1,5 @@
 import corpus_pipeline as P
-from test_dedup import brute_components, brute_repeats
+from test_dedup import brute_components, brute_passages
 from test_native import split
 
 
@@ -17,8 +17,8 @@ def test_stages(spark, sf):
     before, after = seen[1][1:]
     assert sorted(r["doc_id"] for r in after) == sorted({c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in before], 80)})
     before, after = seen[2][1:]
-    want = {r["doc_id"]: w[0] - w[1] for r, w in zip(before, brute_repeats([r["text"] for r in before], 400), strict=True)}
-    assert {r["doc_id"]: len(r["text"].encode()) for r in after} == want and all(r["n_chars"] == len(r["text"]) for r in after)
+    want = {r["doc_id"]: w[0] for r, w in zip(before, brute_passages([r["text"] for r in before], 51), strict=True)}
+    assert {r["doc_id"]: r["text"] for r in after} == want and all(r["n_chars"] == len(r["text"]) for r in after)
     before, after = seen[3][1:]
     assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before} and max(sum(x["doc_id"] == r["doc_id"] for x in after) for r in after) <= 2
     pieces = P.STAGES[-1][1](spark, docs, sf).collect()
@@ -39,4 +39,4 @@ def test_passages_of_51_words_go(spark, sf):
     got = {r["doc_id"]: r["text"] for r in P.suffix_dedup(spark, docs, sf).collect()}
     for doc, text, *_ in rows:
         words = text.split(" ")
-        assert got[doc] == " ".join(words[:60]) + " ".join(words[-60:])
+        assert got[doc] == " ".join(words[:60] + words[-60:])
