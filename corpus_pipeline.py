@@ -12,8 +12,8 @@ from spanloom.llm import mixing, neardup, packing, quality, repeats
 from spanloom.llm.common import store
 from spanloom.llm.queries import table, vocabulary
 
-#: A passage of 51 words has 101 bytes at least: 51 of one byte each and what separates them.
-PASSAGE = 101
+#: Words of the shortest passage that goes if it repeats: over 50.
+PASSAGE = 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of PASSAGE bytes or more that occur again, so without repeated passages of over 50 words."""
-    return repeats.strip_repeats(docs, PASSAGE)
+    """Texts without the runs of PASSAGE words or more that occur again, here or in another text."""
+    return repeats.strip_repeats(docs, words=PASSAGE)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
