@@ -86,10 +86,11 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first start, starts, anchor hash) of each context in the texts data[offsets[k]:offsets[k+1]]."""
+    """(text, first start, starts, anchor hash, units before the anchor) of each context in the texts
+    data[offsets[k]:offsets[k+1]]."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     h = _mixed(gram_hashes(data, gram))
     key = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     w = length - gram + 1
@@ -103,7 +104,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     place = np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
     at = (least[np.repeat(offsets[:-1], starts) + place] & np.uint64(0xFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else none
-    return text[first], place[first], np.diff(np.append(first, len(at))), h[at[first]].view(np.int64)
+    return text[first], place[first], np.diff(np.append(first, len(at))), h[at[first]].view(np.int64), at[first] - offsets[text[first]] - place[first]
 
 
 def segments(offsets: np.ndarray, length: int = LENGTH, most: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ def segments(offsets: np.ndarray, length: int = LENGTH, most: int = SEGMENT) ->
     return np.array(text, np.int64), np.array(begin, np.int64), np.array(end, np.int64)
 
 
-ANCHORS = "id long, th long, at int, starts int, fp long, c long"
+ANCHORS = "id long, th long, at int, starts int, lead int, fp long, c long"
 
 
 def _digest(x) -> int:
@@ -126,9 +127,9 @@ def _digest(x) -> int:
 
 
 def anchors(rows: DataFrame, windows: Windows) -> DataFrame:
-    """A row for each context of rows (id, th, text): place, number of windows, anchor hash, context digest.
-    Places count bytes or words."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("starts", pa.int32()), ("fp", pa.int64()), ("c", pa.int64())])
+    """A row for each context of rows (id, th, text): place, number of windows, what lies before the anchor, anchor
+    hash, context digest. Places count bytes or words."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("starts", pa.int32()), ("lead", pa.int32()), ("fp", pa.int64()), ("c", pa.int64())])
     length, gram = windows.size, windows.gram
 
     def each(data, offsets, ids, ths):
@@ -147,12 +148,12 @@ def anchors(rows: DataFrame, windows: Windows) -> DataFrame:
                 base = data[begin[a] : end[z - 1]]
                 view, wide = memoryview(np.ascontiguousarray(base).view(np.uint8)), base.itemsize
                 edge = np.append(begin[a:z], end[z - 1]) - begin[a]
-                k, at, starts, fp = anchored(base, edge, length, gram)
+                k, at, starts, fp, lead = anchored(base, edge, length, gram)
                 low = edge[k] + at
                 c = np.fromiter((_digest(view[x:y]) for x, y in zip((low * wide).tolist(), ((low + starts + length - 1) * wide).tolist(), strict=True)), np.int64, len(low))
                 doc = text[a + k]
                 at = at + begin[a + k] - offsets[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(fp), pa.array(c)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(fp), pa.array(c)], schema=schema)
 
     def run(batches):
         for b in batches:
@@ -165,14 +166,14 @@ def anchors(rows: DataFrame, windows: Windows) -> DataFrame:
     return rows.mapInArrow(run, ANCHORS)
 
 
-CONTEXTS = "fp long, c long, m long, starts int, text binary"
+CONTEXTS = "fp long, c long, m long, starts int, lead int, text binary"
 
 
 def contexts(rows: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
     """The text of each wanted (id, th, at, starts, fp, c, m), cut from its row; a row's wants go with it.
     Of words, a blank follows each."""
-    each = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "starts", "fp", "c", "m")).alias("wants"))
-    schema = pa.schema([("fp", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("starts", pa.int32()), ("text", pa.binary())])
+    each = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "starts", "lead", "fp", "c", "m")).alias("wants"))
+    schema = pa.schema([("fp", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("starts", pa.int32()), ("lead", pa.int32()), ("text", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -185,7 +186,7 @@ def contexts(rows: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
                     cut = lambda at, n: b" ".join(bytes(view[begin[at] : end[at + n - 1]]).split()) + b" "  # noqa: B023, E731
                 else:
                     cut = lambda at, n: bytes(view[at : at + n])  # noqa: B023, E731
-                yield pa.RecordBatch.from_pylist([{"fp": w["fp"], "c": w["c"], "m": w["m"], "starts": w["starts"], "text": cut(w["at"], w["starts"] + windows.size - 1)} for w in wants], schema)
+                yield pa.RecordBatch.from_pylist([{"fp": w["fp"], "c": w["c"], "m": w["m"], "starts": w["starts"], "lead": w["lead"], "text": cut(w["at"], w["starts"] + windows.size - 1)} for w in wants], schema)
 
     return rows.join(each, ["id", "th"]).select("text", "wants").mapInArrow(run, CONTEXTS)
 
@@ -227,24 +228,49 @@ FOUND = "fp long, c long, runs array<int>"
 _FOUND = pa.schema([("fp", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
 
+def _meeting(group: list[tuple], windows: Windows) -> list[tuple]:
+    """The contexts (fp, c, m, starts, lead, text) of one anchor that may hold a repeat. A window reaches half of what
+    the anchor leaves of it to one side at least; where no other context has that side, it is the only one."""
+    half, gram, seen, sides = (windows.size - windows.gram) // 2, windows.gram, {}, []
+    for _, _, m, starts, lead, text in group:
+        units = text.split(b" ") if windows.words else text
+        left = (0, hash(tuple(units[lead - half : lead + gram]) if windows.words else units[lead - half : lead + gram])) if lead >= half else None
+        right = (1, hash(tuple(units[lead : lead + gram + half]) if windows.words else units[lead : lead + gram + half])) if lead - starts + 1 < half else None
+        sides.append((left, right))
+        for side in (left, right):
+            if side is not None:
+                seen[side] = seen.get(side, 0) + m
+    return [row for row, both in zip(group, sides, strict=True) if any(x is not None and seen[x] > 1 for x in both)]
+
+
 def sorted_shards(texts: DataFrame, windows: Windows, shard: int = SHARD) -> DataFrame:
-    """The repeated starts of each context (fp, c, m, starts, text), from suffix arrays of whole groups."""
+    """The repeated starts of each context (fp, c, m, starts, lead, text), from suffix arrays of whole groups."""
 
     def run(batches):
         def close(held):
-            got = repeated_starts([h[4] for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]), windows)
+            got = repeated_starts([h[5] for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]), windows)
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([_runs(g) for g in got], pa.list_(pa.int32()))], schema=_FOUND)
 
-        held, size, last = [], 0, None
-        for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if (row[0], row[1]) == last:  # a repeated row's context
-                    continue
-                if held and size + len(row[4]) > shard and row[0] != held[-1][0]:
-                    yield close(held)
-                    held, size = [], 0
-                held.append(row)
-                last, size = (row[0], row[1]), size + len(row[4]) + 1
+        def groups():
+            group = []
+            for b in batches:
+                for row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                    if group and row[0] != group[-1][0]:
+                        yield _meeting(group, windows)
+                        group = []
+                    if not group or row[1] != group[-1][1]:  # else a repeated row's context
+                        group.append(row)
+            if group:
+                yield _meeting(group, windows)
+
+        held, size = [], 0
+        for group in groups():
+            more = sum(len(row[5]) + 1 for row in group)
+            if held and size + more > shard:
+                yield close(held)
+                held, size = [], 0
+            held += group
+            size += more
         if held:
             yield close(held)
         trim()
@@ -259,8 +285,8 @@ def counted_windows(texts: DataFrame, windows: Windows) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                view, n = memoryview(row[4]), row[3]
+            for row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                view, n = memoryview(row[5]), row[3]
                 begin, end = windows.edges(np.frombuffer(view, np.uint8), n)
                 d = np.frombuffer(b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(begin.tolist(), end.tolist(), strict=True)), "<i8").reshape(n, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row[0])), pa.array(np.full(n, row[1])), pa.array(np.full(n, row[2])), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], schema=schema)
@@ -285,7 +311,7 @@ def _spans(found: list[dict] | None, size: int) -> np.ndarray:
 def _found_spans(rows: DataFrame, windows: Windows) -> DataFrame:
     """(id, th, found): where each of the rows (id, th, text) has windows that repeat."""
     marks = store(anchors(rows, windows), "anchors", "zstd")
-    groups = marks.groupBy("fp", "c").agg(F.count(F.lit(1)).alias("m"), *(F.first(k).alias(k) for k in ("id", "th", "at", "starts")))
+    groups = marks.groupBy("fp", "c").agg(F.count(F.lit(1)).alias("m"), *(F.first(k).alias(k) for k in ("id", "th", "at", "starts", "lead")))
     shared = groups.groupBy("fp").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2").drop("total")
     wanted = store(groups.join(shared, "fp"), "wanted", "zstd")
     whole = wanted.filter("kinds = 1").select("fp", "c", F.array(F.lit(0), F.col("starts") - 1).alias("runs"))

@@ -167,7 +167,7 @@ def test_segments_of_long_texts():
     whole = set()
     text, begin, end = repeats.segments(offsets, 100, 700)
     for t, a, z in zip(text, begin, end, strict=True):
-        k, at, n, fp = repeats.anchored(data[a:z], np.array([0, z - a]), 100, 16)
+        k, at, n, *_ = repeats.anchored(data[a:z], np.array([0, z - a]), 100, 16)
         for x, y in zip(at.tolist(), n.tolist(), strict=True):
             starts = {(int(t), int(a - offsets[t] + x + s)) for s in range(y)}
             assert not whole & starts
