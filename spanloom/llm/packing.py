@@ -127,28 +127,40 @@ def lexically_grouped(tokens: DataFrame, idf, mean: float, total: int, wide: np.
 
 
 class Index:
-    """BM25 postings of a shard, ordered by term, with weights from corpus-wide statistics."""
+    """BM25 postings of a shard, ordered by term, with weights from corpus-wide statistics.
+
+    Terms of over an eighth of the documents hold most of the postings; their weights are a matrix, documents by
+    terms (no larger than eight times the postings it stands for), so that a seed adds them up in one product.
+    """
 
     def __init__(self, ids: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float):
         docs = len(ends) - 1
         doc, term, weight = weighted_terms(ids, ends, idf, mean)
+        many = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(many > max(docs // 8, 16))
+        place = np.full(len(idf), -1, np.int32)
+        place[common] = np.arange(len(common))
+        at = place[term]
+        self.common = np.zeros((docs, len(common)), np.float32)
+        self.common[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+        doc, term, weight = doc[at < 0], term[at < 0], weight[at < 0]
         self.own = np.searchsorted(doc, np.arange(docs + 1))
-        self.terms, self.weights = term, weight
+        self.terms = term
         by = np.argsort(term.astype(np.uint16), kind="stable") if len(idf) <= 65536 else np.argsort(term, kind="stable")
-        self.docs, self.scores = doc[by], weight[by]
+        self.docs, self.scores = doc[by].astype(np.int64), weight[by].astype(np.float64)
         self.starts = np.searchsorted(term[by], np.arange(len(idf) + 1))
         self.n = docs
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with the seed, best first by all of its terms."""
         terms = self.terms[self.own[seed] : self.own[seed + 1]]
-        spans = [slice(x, y) for x, y in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist(), strict=True)]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.docs[x] for x in spans]), np.concatenate([self.scores[x] for x in spans]), self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score > 0)
-        return found[np.lexsort((found, -score[found]))]
+        score = (self.common @ (self.common[seed] > 0).astype(np.float32)).astype(np.float64)
+        first, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        if len(at):
+            score += np.bincount(self.docs[at], self.scores[at], self.n)
+        found = np.flatnonzero(unused & (score > 0))
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(index: Index, lengths: np.ndarray, window: int = WINDOW):
