@@ -15,7 +15,6 @@ TEMPLATES = ("at least one", "plurality of", "the present invention", "embodimen
 STOPWORDS = ("a", "an", "the", "of", "for", "to", "in", "on", "at", "by", "with", "is", "are", "was", "were", "be", "been", "being", "or", "and", "but", "if", "as", "it", "this", "that", "these", "those")
 JOURNALS = r"\b(?:j\.|amer\.|chem\.|soc\.|proc\.|trans\.|nature|science|lancet|jama|ieee|acm)\b"
 CITATIONS = (r"\bpatent\s+applications?\b", r"\bpatent\s+no\.?\b", r"\bpatent\s+publications?\b", r"\bpublished\s+(?:patent|application)\b", r"\bcopyright\s+notice\b", r"\bcopyright\s+owner\b", r"\ball\s+copyright\s+rights?\b", r"\bportion\s+of\s+(?:this|the)\s+patent\s+document\b", r"\bno\s+objection\s+to\s+the\s+facsimile\s+reproduction\b", r"\b37\s*cfr\s*§?\s*1\.71\b", r"\bet\s+al\.?\b", r"\b\d{1,2},\d{3},\d{3}\b", JOURNALS)
-
 PUBLICATION = r"(?i)\b(?:WO|EP|US|CN|JP|KR|DE|FR|GB|PCT)\s*(?:\d{4}/\d{4,8}|\d{6,12}(?:/\d{1,4})?)(?:\s*[A-Z]\d?)?\b"
 FIGURE = r"(?i)^(?:figure|fig\.?)(?:\s+[A-Za-z0-9][A-Za-z0-9.-]*)+$"
 AUTHOR = r"\b(?:[A-Z]\.){1,3}\s*[A-Z][a-z]+(?:[- ][A-Z][a-z]+)?\b"

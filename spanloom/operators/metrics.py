@@ -68,15 +68,23 @@ def mean_document_precision(ranking: DataFrame, qrels: DataFrame, name: str = "m
 
 
 def report(passages: DataFrame, documents: DataFrame, qrels: DataFrame) -> DataFrame:
-    """All official metrics, from a passage ranking and the untruncated document ranking."""
-    p = passages.withColumn("item", F.col("passage_id"))
-    d = documents.withColumn("item", F.col("doc_id"))
-    truth, docs = qrels.withColumn("item", F.col("passage_id")), document_truth(qrels)
-    rows = [
-        mean_document_precision(passages, qrels), recall(p, truth, 1000, "recall_passage@1000"), pres(d, docs, 100, "pres_doc@100"), recall(d, docs, 100, "recall_doc@100"),
-        ndcg(d, docs, 10, "ndcg_doc@10"), average_precision(d, docs, "map_doc"), reciprocal_rank(d, docs, "mrr_doc"),
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    """All official metrics, from a passage ranking and the untruncated document ranking: the document metrics
+    from one table of hits, and one row a query of it."""
+    truth = qrels.withColumn("item", F.col("passage_id"))
+    hits, sizes = _hits(documents.withColumn("item", F.col("doc_id")), document_truth(qrels), None)
+    n, at = F.col("n"), F.col("rank")
+    upto = lambda k, x: F.when(at <= k, x)
+    found = F.count(upto(100, at))
+    missed = (n - found) * 100 + (n * (n + 1) - found * (found + 1)) / 2
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(n.cast("int"), F.lit(10))), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    values = {
+        "pres_doc@100": 1 - ((F.coalesce(F.sum(upto(100, at)), F.lit(0)) + missed) / n - (n + 1) / 2) / 100, "recall_doc@100": found / n,
+        "ndcg_doc@10": F.sum(upto(10, 1 / F.log2(at + 1.0))) / ideal, "map_doc": F.sum(F.col("nth") / at) / n, "mrr_doc": 1.0 / F.min(at),
+    }
+    each = sizes.join(hits, "query_id", "left").groupBy("query_id", "n").agg(*(v.alias(k) for k, v in values.items()))
+    mean = lambda k: F.round(F.coalesce(F.avg(F.coalesce(F.col(f"`{k}`"), F.lit(0.0))), F.lit(0.0)), 6)
+    rows = each.agg(*(mean(k).alias(k) for k in values)).select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value")) for k in values))).alias("m")).select("m.*")
+    return reduce(DataFrame.unionByName, [mean_document_precision(passages, qrels), recall(passages.withColumn("item", F.col("passage_id")), truth, 1000, "recall_passage@1000"), rows])
 
 
 def in_order(table: DataFrame) -> DataFrame:

@@ -11,8 +11,33 @@ def draw(key: Column, seed: int = 42) -> Column:
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """`n` rows without replacement (a top-n of the hash order: no row is gathered)."""
-    return df.withColumn("__d", draw(F.col(key), seed)).orderBy("__d", key).limit(n).drop("__d")
+    """`n` rows without replacement, the first in the order of the draw."""
+    return _first_drawn(df.withColumn("__g", F.lit(0)), "__g", key, {0: n}, seed).drop("__g")
+
+
+#: Bins of the draw; only the rows of a group's bin at the cut are put in order.
+_BINS = 65_536
+
+
+def _first_drawn(df: DataFrame, group: str, key: str, budget: dict, seed: int) -> DataFrame:
+    """The first budget[g] rows of each group g in the order of the draw, for a few groups of any size.
+
+    Rows are counted by group and bin (the draw's first four hex digits), at most _BINS rows a group. All rows of
+    the bins before a group's cut are taken; only the bin at the cut is ordered, a 65,536th of the group.
+    """
+    if not any(budget.values()):
+        return df.limit(0)
+    limit = F.coalesce(*(F.when(F.col(group).eqNullSafe(F.lit(g)), F.lit(n)) for g, n in budget.items()), F.lit(0)).cast("long")
+    drawn = df.withColumn("__d", draw(F.col(key), seed)).withColumn("__bin", F.conv(F.substring("__d", 1, 4), 16, 10).cast("int"))
+    bins = drawn.groupBy(group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("__rest", limit - before).filter("__rest > 0").select(F.col(group).alias("__group"), F.col("__bin").alias("__b"), "__n", "__rest")
+    small = F.broadcast(bins) if len(budget) <= 16 else bins
+    met = drawn.join(small, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bin") == F.col("__b")))
+    whole = met.filter("__rest >= __n")
+    place = F.row_number().over(Window.partitionBy(group, "__bin").orderBy("__d", key))
+    part = met.filter("__rest < __n").withColumn("__r", place).filter("__r <= __rest").drop("__r")
+    return whole.unionByName(part).drop("__d", "__bin", "__group", "__b", "__n", "__rest")
 
 
 def cap_per_group(df: DataFrame, groups: list[str], key: str, n: Column | int, seed: int = 42) -> DataFrame:
@@ -72,8 +97,8 @@ def year_caps(sizes: dict, total: int) -> dict:
 
 
 def by_budget(df: DataFrame, group: str, key: str, budget: dict, seed: int = 42) -> DataFrame:
-    limit = F.coalesce(*(F.when(F.col(group) == g, F.lit(n)) for g, n in budget.items()), F.lit(0)) if budget else F.lit(0)
-    return cap_per_group(df, [group], key, limit, seed)
+    """The first budget[g] rows of each group g in the order of the draw; groups without a budget have none."""
+    return _first_drawn(df, group, key, budget, seed)
 
 
 def hard_negatives(docs: DataFrame, targets: DataFrame, n: int, ratio: float = 0.75, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_of
+from .tables import keep
 
 
 def sparse_scores(queries: DataFrame, postings: DataFrame, idfs: DataFrame | None = None, spans: DataFrame | None = None, alpha: float = 2.0, beta: float = 0.5) -> DataFrame:
@@ -43,16 +44,20 @@ def two_stage(scores: DataFrame, passages: DataFrame, k: int = 100) -> DataFrame
     return ranked(out.select("query_id", "passage_id", F.coalesce("score", F.lit(-1e9)).alias("score")))
 
 
-def bm25(query_terms: DataFrame, passage_terms: DataFrame, n_passages: int, mean_length: float, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(query_terms: DataFrame, passage_terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Scores from (query_id, term) and (passage_id, term) rows, one row an occurrence:
-    idf ln(1 + (N - df + .5) / (df + .5)) * tf / (tf + k1 (1 - b + b len / mean)), once a query term's occurrence."""
-    tf = passage_terms.groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = passage_terms.groupBy("passage_id").agg(F.count(F.lit(1)).alias("len"))
+    idf ln(1 + (N - df + .5) / (df + .5)) * tf / (tf + k1 (1 - b + b len / mean)), once a query term's occurrence.
+
+    Term frequencies are counted once into a stored table, which gives lengths, df, N and the mean length.
+    """
+    tf = keep(passage_terms.groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-frequencies")
+    length = tf.groupBy("passage_id").agg(F.sum("tf").alias("len"))
+    size = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     q = query_terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn")).join(df, "term")
-    q = q.withColumn("w", F.col("qn") * F.log1p((F.lit(n_passages) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    q = q.withColumn("w", F.col("qn") * F.log1p((F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = q.join(tf, "term").join(length, "passage_id")
-    weight = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_length))
+    weight = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(size["mean"] or 1.0)))
     return part.groupBy("query_id", "passage_id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 

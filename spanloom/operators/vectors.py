@@ -1,6 +1,7 @@
 """Vector operators: normalization, exact top-k by blocks, Voronoi cells with radii, centers.
 
-Vectors are ARRAY<DOUBLE>. Similarities are rounded to 6 places before they are ranked, ties go to the
+Vectors are ARRAY<DOUBLE>; those that are null, of another than the commonest length, or that hold a null or
+non-finite component take no part. Similarities are rounded to 6 places before they are ranked, ties go to the
 smaller id. A center table is sent to every task only after its size is checked (MAX_BROADCAST bytes);
 a larger one is cut into slices, each sent on its own, and the slices' top rows are merged.
 """
@@ -33,6 +34,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def width(rows: DataFrame, v: str) -> int:
+    """The commonest length of the vectors, the smaller of two as common; 0 without vectors."""
+    first = rows.filter(F.col(v).isNotNull()).groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return first["d"] if first else 0
+
+
+def usable(rows: DataFrame, v: str, d: int) -> DataFrame:
+    """The rows whose vector has `d` components, all finite."""
+    return rows.filter(F.col(v).isNotNull() & (F.size(v) == d) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
 def _slices(centers: DataFrame):
     """(ids, unit matrix) pieces of at most MAX_BROADCAST bytes, streamed through the driver in id order."""
     ids, rows, size = [], [], 0
@@ -52,7 +64,8 @@ def top_centers(spans: DataFrame, centers: DataFrame, k: int) -> DataFrame:
 
     Block products run in Arrow batches; per slice of centers a span yields at most k rows.
     """
-    out = None
+    out, d = None, width(centers, "center")
+    spans, centers = usable(spans, "v", d), usable(centers, "center", d)
     for ids, matrix in _slices(centers):
         unit_rows = matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-12)[:, None]
         shared = spans.sparkSession.sparkContext.broadcast((ids, unit_rows))
@@ -125,55 +138,84 @@ def refine(spans: DataFrame, cell_rows: DataFrame, centers: DataFrame) -> DataFr
     return centers.join(means, "center_id", "left").select("center_id", F.coalesce("moved", "center").alias("center"))
 
 
-def farthest_first(points: DataFrame, n_centers: int, batch: int = 1, pool_bytes: int = 512 << 20) -> DataFrame:
+def _greedy(ids: np.ndarray, x: np.ndarray, far: np.ndarray, floor: float, room: int, batch: int) -> list[int]:
+    """Places of the next centers among candidates in order of id, while they are farther than `floor`, which no
+    other point exceeds: distances only fall, so these are the next centers of all points."""
+    chosen: list[int] = []
+    far = far.copy()
+    while len(chosen) < room:
+        best = np.argsort(-far, kind="stable")[: min(batch, room - len(chosen))]
+        if far[best[-1]] <= floor:
+            break
+        chosen += best.tolist()
+        far = np.minimum(far, np.round(1 - x @ x[best].T, 6).min(1))
+        far[chosen] = -1
+    return chosen
+
+
+def farthest_first(points: DataFrame, n_centers: int, batch: int = 1, candidates_bytes: int = 64 << 20) -> DataFrame:
     """(position, span_id): Gonzalez traversal from the point of least id hash; each step adds the `batch`
     points farthest from all chosen ones (ties: smaller id).
 
-    A pool within `pool_bytes` (checked) runs in one task; a larger one in rounds, each a top-`batch` over
-    all points against the centers of the last round, with distances kept in a stored table.
+    Distances to the nearest center are kept in a stored table. A round brings the farthest points, up to
+    `candidates_bytes` of them, to the driver, which goes on choosing among these for as long as their distances
+    exceed all others'; then the chosen ones update the table. A step that finds no such candidates takes
+    the first of them, as a round of one step would.
     """
-    n, width = points.count(), points.select(F.size("v").alias("d")).first()
+    from .tables import drop, keep
+
+    d = width(points, "v")
+    points = usable(points.select("span_id", "v"), "v", d)
+    start = points.orderBy(F.md5(F.col("span_id").cast("string").cast("binary")), "span_id").first()
+    n = points.count()
     if n < n_centers:
         raise ValueError(f"{n_centers} centers from {n} points")
-    start = points.orderBy(F.md5(F.col("span_id").cast("string").cast("binary")), "span_id").first()
-    if n * width["d"] * 8 <= pool_bytes:
-
-        def run(batches):
-            got = [b for b in batches if b.num_rows]
-            if not got:
-                return
-            ids, x = np.concatenate([b.column(0).to_numpy() for b in got]), np.concatenate([_matrix(b.column(1)) for b in got])
-            by = np.argsort(ids)
-            ids, x = ids[by], x[by]
-            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-            chosen, far = [int(np.flatnonzero(ids == start["span_id"])[0])], np.full(len(x), np.inf)
-            while True:
-                far = np.minimum(far, np.round(1 - x @ x[chosen[-batch if len(chosen) > 1 else -1 :]].T, 6).min(1))
-                far[chosen] = -1
-                if len(chosen) >= n_centers:
-                    break
-                chosen += np.argsort(-far, kind="stable")[: min(batch, n_centers - len(chosen))].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chosen))), pa.array(ids[chosen])], names=["position", "span_id"])
-
-        return points.select("span_id", "v").coalesce(1).mapInArrow(run, "position long, span_id long")
-    from .tables import keep
-
-    spark, chosen, last = points.sparkSession, [start["span_id"]], [start]
-    far = keep(points.select("span_id", unit(F.col("v")).alias("v"), F.lit(9.0).alias("far")))
+    most = max(4 * batch, candidates_bytes // max(8 * d, 1))
+    spark, chosen, last = points.sparkSession, [start["span_id"]], np.array([start["v"]])
+    last = last / np.maximum(np.linalg.norm(last, axis=1), 1e-12)[:, None]
+    taken, far = [start["span_id"]], points.select("span_id", "v", F.lit(9.0).alias("far"))
     while len(chosen) < n_centers:
-        new = F.array_min(F.array(*(F.round(1 - dot(F.col("v"), F.array(*(F.lit(float(x)) for x in np.asarray(r["v"]) / max(np.linalg.norm(r["v"]), 1e-12)))), 6) for r in last)))
-        taken = F.col("span_id").isin([r["span_id"] for r in last])  # earlier ones are at -1 already
-        far = keep(far.select("span_id", "v", F.when(taken, -1.0).otherwise(F.least("far", new)).alias("far")))
-        best = far.orderBy(F.desc("far"), "span_id").limit(min(batch, n_centers - len(chosen))).collect()
-        chosen, last = chosen + [r["span_id"] for r in best], best
+        shared = spark.sparkContext.broadcast((np.array(taken), last))
+
+        def run(batches, shared=shared):
+            ids, c = shared.value
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column(1))
+                    x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+                    low = np.minimum(b.column(2).to_numpy(), np.round(1 - x @ c.T, 6).min(1))
+                    low[np.isin(b.column(0).to_numpy(), ids)] = -1
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low)], names=["span_id", "v", "far"])
+
+        before, far = far, keep(far.mapInArrow(run, "span_id long, v array<double>, far double"), "far")
+        if len(chosen) > 1:
+            drop(before)
+        shared.destroy()
+        got = far.filter("far >= 0").orderBy(F.desc("far"), "span_id").limit(most).toArrow().combine_chunks()
+        x = np.concatenate([_matrix(c) for c in got.column(1).chunks])
+        x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+        ids, low = got.column(0).to_numpy(), got.column(2).to_numpy()
+        floor = low[-1] if len(ids) == most else -1.0
+        by = np.argsort(ids)
+        picks = _greedy(ids[by], x[by], low[by], floor, n_centers - len(chosen), batch)
+        if not picks:
+            picks = np.argsort(-low[by], kind="stable")[: min(batch, n_centers - len(chosen))].tolist()
+        taken, last = ids[by][picks].tolist(), x[by][picks]
+        chosen += taken
+    drop(far)
     return spark.createDataFrame(list(enumerate(chosen)), "position long, span_id long")
 
 
-def kmeans_centers(spans: DataFrame, k: int, seed: int = 123, rounds: int = 20) -> DataFrame:
-    """Unit centers by k-means with parallel k-means++ seeding, over unit vectors."""
+def kmeans_centers(spans: DataFrame, k: int, seed: int = 123, rounds: int = 20, n_init: int = 3) -> DataFrame:
+    """Unit centers by k-means with parallel k-means++ seeding, over unit vectors: of `n_init` runs the one of
+    least inertia (the first of equals)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=k, seed=seed, maxIter=rounds).fit(spans.select(array_to_vector(unit(F.col("v"))).alias("features")))
+    from .tables import keep
+
+    rows = keep(usable(spans.select("v"), "v", width(spans, "v")).select(array_to_vector(unit(F.col("v"))).alias("features")), "features")
+    models = [KMeans(k=k, seed=seed + i, maxIter=rounds).fit(rows) for i in range(n_init)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     rows = [(i, [float(x) for x in c / max(np.linalg.norm(c), 1e-12)]) for i, c in enumerate(model.clusterCenters())]
     return spans.sparkSession.createDataFrame(rows, "center_id long, center array<double>")

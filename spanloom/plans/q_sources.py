@@ -365,10 +365,8 @@ def sam14_first_documents(spark, d):
 
 @query("SELECT item_id, row_number() OVER (ORDER BY item_id)::INT AS place FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')")
 def sam15_query_subset(spark, d):
-    from pyspark.sql import Window
-
     b = table(spark, d, "benchmark").select("item_id").join(table(spark, d, "documents").filter("lang <> 'fr'").select(F.col("doc_id").alias("item_id")), "item_id", "left_semi")
-    return b.withColumn("place", F.row_number().over(Window.orderBy("item_id")))
+    return tables.numbered(b, "place", "item_id").select("item_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 # ---- span job ------------------------------------------------------------------------------------------
@@ -426,13 +424,6 @@ def spn20_passage_spans(spark, d):
     return encoding.encode(encoding.spans_of(p.select(F.col("passage_id").alias("doc_id"), section.alias("section"), "text"), "noun_chunk"))
 
 
-@query("SELECT 'bm25,colbert,dense,sparse_centers,splade' AS models")
-def scr9_models(spark, d):
-    from .retrieval import MODELS
-
-    return spark.createDataFrame([(",".join(sorted(MODELS)),)], "models string")
-
-
 @query()
 def vec16_encoder_registry(spark, d):
     return encoding.encode(table(spark, d, "benchmark").select("item_id", "text"), dimension=16).drop("text")

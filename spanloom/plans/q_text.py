@@ -317,11 +317,13 @@ def terms(df, key, name):
     return df.select(F.col(key).alias(name), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
 
 
+def all_terms(spark, d):
+    return terms(table(spark, d, "benchmark"), "item_id", "query_id"), terms(table(spark, d, "documents"), "doc_id", "passage_id")
+
+
 @query(f"WITH {_TERMS} SELECT query_id, passage_id, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM (SELECT query_id, term, count(*) AS qn FROM qt GROUP BY ALL) JOIN dfs USING (term) JOIN tf USING (term) JOIN dl USING (passage_id), corp GROUP BY ALL")
 def scr4_bm25(spark, d):
-    q, p = terms(table(spark, d, "benchmark"), "item_id", "query_id"), terms(table(spark, d, "documents"), "doc_id", "passage_id")
-    size = p.groupBy("passage_id").count().agg(F.count(F.lit(1)).alias("n"), F.avg("count").alias("m")).first()
-    return S.bm25(q, p, size["n"], size["m"] or 1.0)
+    return S.bm25(*all_terms(spark, d))
 
 
 _SPLADE = f"WITH {_TERMS}, q AS (SELECT query_id, term, round(ln(1 + count(*)), 6) AS w FROM qt GROUP BY ALL), p AS (SELECT passage_id, term, round(ln(1 + tf), 6) AS w FROM tf) "

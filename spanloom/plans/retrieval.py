@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import index, metrics, scoring
-from ..operators import vectors as V
 
 
 @dataclass(frozen=True)
@@ -44,27 +43,63 @@ class Knobs:
     hard_neg_ratio: float = 0.75
 
 
-def build_index(spans: DataFrame, centers: DataFrame, radius: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
-    """(center_id, passage_id, weight) of spans (span_id, passage_id, v), before stop centers."""
-    hard = knobs.document_assignment == "hard"
-    top = V.top_centers(spans, centers, 1 if hard else knobs.search_cache)
-    rows = index.assign_documents(top, radius, knobs.max_centers_per_span, knobs.search_cache, hard)
+def build_index(top: DataFrame, spans: DataFrame, radius: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+    """(center_id, passage_id, weight) of spans (span_id, passage_id), before stop centers, from their stored top
+    centers (span_id, rank, center_id, sim)."""
+    rows = index.assign_documents(top, radius, knobs.max_centers_per_span, knobs.search_cache, knobs.document_assignment == "hard")
     return index.weights(rows.join(spans.select("span_id", "passage_id"), "span_id"), "passage_id", knobs.weight_aggregation)
 
 
-def sparse_centers(queries: DataFrame, spans: DataFrame, centers: DataFrame, radius: DataFrame, postings: DataFrame, n_centers: int, knobs: Knobs = Knobs()) -> DataFrame:
-    """Scores of query spans (span_id, query_id, position, v) against stored postings."""
-    postings = postings.join(index.stop_centers(postings, n_centers, knobs.stop_center_fraction).select("center_id"), "center_id", "left_anti")
-    counts = spans.groupBy("passage_id").agg(F.count(F.lit(1)).alias("n_spans"))
-    top = V.top_centers(queries, centers, knobs.max_centers_per_span)
+def query_weights(top: DataFrame, queries: DataFrame, radius: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+    """(query_id, center_id, weight) of query spans (span_id, query_id, position)."""
     w = index.assign_queries(top, queries, radius, knobs.max_centers_per_span, knobs.first_span_weight)
     agg = (F.max if knobs.weight_aggregation == "max" else F.sum)("w")
-    w = w.groupBy("query_id", "center_id").agg(agg.alias("weight"))
-    return scoring.sparse_scores(w, postings, index.idf(postings, counts.count()), counts, knobs.idf_exponent, knobs.length_norm_exponent)
+    return w.groupBy("query_id", "center_id").agg(agg.alias("weight"))
 
 
-#: Scorers by model name; each gives (query_id, passage_id, score).
-MODELS = {"sparse_centers": sparse_centers, "bm25": scoring.bm25, "splade": scoring.sparse_scores, "colbert": scoring.late_interaction, "dense": scoring.chunk_maximum}
+def without_stops(postings: DataFrame, n_centers: int, knobs: Knobs = Knobs()) -> DataFrame:
+    return postings.join(index.stop_centers(postings, n_centers, knobs.stop_center_fraction).select("center_id"), "center_id", "left_anti")
+
+
+# ---- models: each takes the inputs it names from a collection and gives (query_id, passage_id, score) ----
+
+
+def sparse_centers(c: dict[str, DataFrame], knobs: Knobs) -> DataFrame:
+    """From `query_weights`, `postings` (without stop centers) and `span_counts` (passage_id, n_spans)."""
+    counts = c["span_counts"]
+    return scoring.sparse_scores(c["query_weights"], c["postings"], index.idf(c["postings"], counts.count()), counts, knobs.idf_exponent, knobs.length_norm_exponent)
+
+
+def bm25(c: dict[str, DataFrame], knobs: Knobs) -> DataFrame:
+    """From `query_terms` (query_id, term) and `passage_terms` (passage_id, term), one row an occurrence."""
+    return scoring.bm25(c["query_terms"], c["passage_terms"])
+
+
+def splade(c: dict[str, DataFrame], knobs: Knobs) -> DataFrame:
+    """From `query_term_weights` and `passage_term_weights`; a query's chunks are merged by maximum."""
+    q = c["query_term_weights"].groupBy("query_id", "center_id").agg(F.max("weight").alias("weight"))
+    return scoring.sparse_scores(q, c["passage_term_weights"])
+
+
+def colbert(c: dict[str, DataFrame], knobs: Knobs) -> DataFrame:
+    """From `token_similarities` (query_id, q_token, passage_id, sim)."""
+    return scoring.late_interaction(c["token_similarities"])
+
+
+def dense(c: dict[str, DataFrame], knobs: Knobs) -> DataFrame:
+    """From `chunk_scores` (query_id, passage_id, score), a row for each chunk of a query."""
+    return scoring.chunk_maximum(c["chunk_scores"])
+
+
+#: Scorers by model name.
+MODELS = {"sparse_centers": sparse_centers, "bm25": bm25, "splade": splade, "colbert": colbert, "dense": dense}
+
+
+def run(model: str, collection: dict[str, DataFrame], knobs: Knobs = Knobs()) -> DataFrame:
+    """(query_id, passage_id, score) of one model; ids as strings, whatever the model's are."""
+    if model not in MODELS:
+        raise ValueError(f"no model {model!r}; there are {', '.join(sorted(MODELS))}")
+    return MODELS[model](collection, knobs).select(F.col("query_id").cast("string").alias("query_id"), F.col("passage_id").cast("string").alias("passage_id"), "score")
 
 
 def evaluate(scores: DataFrame, passages: DataFrame, qrels: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
