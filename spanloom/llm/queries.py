@@ -21,8 +21,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_archives(warc.scan_index(files), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_archives(warc.search_index(pages, warc.archive(pages)), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

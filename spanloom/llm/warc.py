@@ -33,8 +33,12 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 def surt(url: str | None) -> str:
     """Reversed-host key: host labels reversed and joined by commas, then port, ')' and path with query.
-    Scheme, user, a leading www. and the fragment are dropped; what has no host keeps its lower-cased text."""
-    url = (url or "").strip()
+    Scheme, user, a leading www. and the fragment are dropped; what has no host keeps its lower-cased text.
+    Control characters and blanks are percent-encoded, so that a key fits on a line."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", _surt((url or "").strip()))
+
+
+def _surt(url: str) -> str:
     try:
         parts = urlsplit(url)
         host, port = (parts.hostname or "").removeprefix("www."), parts.port
@@ -86,9 +90,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html); returns its captures, a stored table.
 
     Of rows with equal payloads of at least `least` bytes, those with the largest page_id are responses
-    and the others revisit them; smaller payloads are all responses. A null html is an empty payload, a
-    null page_id is least of all, a null url is empty. Only (digest, page_id) is grouped, with partial
-    maxima; the payloads meet the table of maxima in one join whose skewed partitions can be split.
+    and the others revisit them; smaller payloads are all responses. Only (digest, page_id) is grouped, with
+    partial maxima; the payloads meet the table of maxima in one join whose skewed partitions can be split.
+
+    Defined cases: a null html is an empty payload, a null page_id is least of all, a null url is empty; rows that
+    are equal in everything give a record each, all of the kind that their page_id has; a payload of any length
+    that a string holds is one record; an empty table gives no captures; other columns are ignored.
     """
     rows = only(pages, {"page_id": "long", "url": "string", "html": "string"})
     rows = rows.withColumn("payload", F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))).drop("html").withColumn("sha", F.sha1("payload"))
@@ -183,6 +190,61 @@ def scan_index(files: DataFrame) -> DataFrame:
     return files.mapInArrow(blocks, BLOCKS).repartition(parts).mapInArrow(captures, CAPTURES)
 
 
+LOCATED = "surt string, file string, at long, size long"
+
+
+def search_index(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """All captures of the URLs of `pages`, each URL's key once.
+
+    A key's index files are found in the sorted list of their first and last keys (one entry a file, as many as
+    there were partitions), its blocks in a file's directory, its lines in a block, each time by binary search
+    and a range read. Blocks are dealt over the cluster, so that a URL of many captures is read by many tasks.
+    A null url is the empty one; keys without captures give no rows.
+    """
+    uppers = sorted((r["first_surt"], r["last_surt"], r["file"], r["directory_at"], r["directory_size"]) for r in files.collect())
+    shared = files.sparkSession.sparkContext.broadcast(uppers)
+    captures_of = CAPTURE_SCHEMA
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in b.column(0).to_pylist()], pa.string())], names=["surt"])
+
+    def locate(batches):
+        reader, uppers, held = Reader(), shared.value, (None, None)
+        lasts = [u[1] for u in uppers]
+        for b in batches:
+            out = []
+            for key in b.column(0).to_pylist():
+                k = bisect_left(lasts, key)
+                while k < len(uppers) and uppers[k][0] <= key:
+                    _, _, file, at, size = uppers[k]
+                    if held[0] != file:
+                        held = (file, _directory(reader, file, at, size))
+                    firsts = [x[0] for x in held[1]]
+                    out += [{"surt": key, "file": file, "at": x[1], "size": x[2]} for x in held[1][max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]]
+                    k += 1
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("surt", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())]))
+        reader.close()
+
+    def search(batches):
+        reader, block, lines, firsts = Reader(), None, [], []
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if block != (row["file"], row["at"]):
+                    block = (row["file"], row["at"])
+                    lines = [x.split("\t", 1) for x in _lines(reader, row["file"], row["at"], row["size"])]
+                    firsts = [x[0] for x in lines]
+                out += [{"surt": k} | json.loads(x) for k, x in lines[bisect_left(firsts, row["surt"]) : bisect_right(firsts, row["surt"])]]
+            yield pa.RecordBatch.from_pylist(out, captures_of)
+        reader.close()
+
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = only(pages, {"url": "string"}).mapInArrow(keys, "surt string").distinct()
+    places = wanted.repartitionByRange(parts, "surt").sortWithinPartitions("surt").mapInArrow(locate, LOCATED)
+    return places.repartition(parts, "file", "at").sortWithinPartitions("file", "at", "surt").mapInArrow(search, CAPTURES)
+
+
 def read_archives(captures: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that the captures name, read by ranges; each archive is read in order of place."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])

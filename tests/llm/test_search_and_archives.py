@@ -20,6 +20,9 @@ def test_archives(spark):
     assert sorted((-1 if r["page_id"] is None else r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"]) for r in got) == want
     assert all(hashlib.sha1(r["payload"]).digest() == base64.b32decode(r["payload_digest"]) for r in got if r["record_type"] == "response")
     assert {c["page_id"] for c in warc.lookup(spark, files, "https://b.example.com/a?x=1")} == {1, 5} and warc.lookup(spark, files, "http://no.where/") == []
+    by_key = lambda df: sorted(map(repr, df.collect()))
+    assert by_key(warc.search_index(pages, files)) == by_key(warc.scan_index(files))
+    assert warc.search_index(pages.limit(0), files).count() == 0 and warc.search_index(pages, warc.archive(pages.limit(0))).count() == 0
     assert warc.read_archives(warc.scan_index(warc.archive(pages.limit(0)))).count() == 0
     assert all(r["record_type"] == "response" for r in warc.read_archives(warc.scan_index(warc.archive(pages, least=10**6))).collect())
 
@@ -31,6 +34,7 @@ def test_blocks_and_directory(spark):
     folder = new_path(spark, "t")
     files = warc.write_index(warc.write_archives(pages, folder), folder, lines=16)
     assert warc.scan_index(files).count() == 700
+    assert sorted(r["page_id"] for r in warc.search_index(pages.filter("page_id % 7 = 0"), files).collect()) == list(range(0, 700, 7))
     for k in (0, 17, 699):
         assert [c["page_id"] for c in warc.lookup(spark, files, f"http://h{k % 40}.example.org/p/{k}")] == [k]
 
@@ -38,6 +42,7 @@ def test_blocks_and_directory(spark):
 def test_surt():
     assert warc.surt("http://www.Example.COM:8080/A?b=C#d") == "com,example:8080)/a?b=C"
     assert warc.surt("https://x.org") == "org,x)/" and warc.surt(None) == "" and warc.surt("http://[bad") == "http://[bad"
+    assert warc.surt("no host\there\nÜ") == "no%20host%09here%0Aü"
 
 
 def exact(rows, every, top):
