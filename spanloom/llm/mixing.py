@@ -48,6 +48,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return ranked.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
+def longer_first(most: int = 1000) -> Column:
+    """Inclusion odds that grow with a document's size, to twice those of an empty one at `most` words."""
+    return F.lit(1.0) + F.least(F.col("size"), F.lit(most)) / F.lit(float(most))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17, odds: Column | None = None) -> DataFrame:
     """How many copies of each row a mix takes, so that each source's words come near its target.
 
@@ -55,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     and the fraction is drawn by Pareto order sampling: rows of a source are ranked by
     [U/(1-U)] / [p/(1-p)], U uniform from (doc_id, text) and `seed`, and the first ranks are taken up to
     the point nearest the missing words, so that the number of sampled words is fixed to half a
-    document. `odds` (a positive column expression over doc_id, text, source; default 1) multiplies a
+    document. `odds` (a positive column expression over doc_id, text, source, size; default 1) multiplies a
     row's inclusion odds and so makes probabilities unequal within a source too.
 
     Returns doc_id, source, size, source_size, target, copies, taken and text_hash (a hash of the text
@@ -66,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     table gives no rows; other columns are ignored.
     """
     rows = only(docs, {"doc_id": "long", "text": "string", "source": "string"})
-    rows = rows.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), n_words(F.col("text")).alias("size"), (odds if odds is not None else F.lit(1.0)).cast("double").alias("odds"))
+    rows = rows.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), n_words(F.col("text")).alias("size"), "text")
+    rows = rows.withColumn("odds", (odds if odds is not None else F.lit(1.0)).cast("double")).drop("text")
     rows = store(rows.withColumn("u", uniform(seed, F.col("doc_id"), F.col("digest"))).drop("digest"), "mix-sizes")
     goals = store(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most, "mix-sources"), "mix-targets")
     rows = join_small(rows, goals, "source")

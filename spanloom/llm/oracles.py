@@ -41,6 +41,6 @@ v AS (SELECT (( SELECT sum(source_size) FROM s) * 1.5 - below) / open AS level,
 c AS (SELECT coalesce(arg_min(level, ratio) FILTER (ratio > level), max(ratio)) AS level FROM v),
 t AS (SELECT source, source_size, least(cap, w * level) AS target FROM s, c),
 x AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-y AS (SELECT *, CASE WHEN e > floor(e) AND 2 * sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u)) - size < 2 * (e - floor(e)) * source_size THEN 1 ELSE 0 END AS extra FROM x)
+y AS (SELECT *, CASE WHEN e > floor(e) AND 2 * sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (1 + least(size, 1000) / 1000::DOUBLE)) - size < 2 * (e - floor(e)) * source_size THEN 1 ELSE 0 END AS extra FROM x)
 SELECT doc_id, size, source_size, target, (size * (floor(e) + extra))::BIGINT AS taken, source, (floor(e) + extra)::INT AS copies FROM y""",
 }

@@ -42,7 +42,7 @@ def op4_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents"), odds=mixing.longer_first()).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
