@@ -25,8 +25,8 @@ WORDS, BANDS, ROWS = 5, 40, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Rounds of stars at most (they end when under a hundredth of a star's pairs are links), and pairs for each row of the mixed buckets below which all pairs are compared.
 ROUNDS, FEW = 8, 4
-#: An estimate further below the threshold than so many of its standard deviations is no link (3 in 100,000).
-DEVIATIONS = 4.0
+#: An estimate further below the threshold than so many of its standard deviations is no link (1 in 1,000,000,000).
+DEVIATIONS = 6.0
 #: Keys at or above stand for rows without a doc_id.
 NO_ID = 1 << 62
 
@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows are linked when their shingle sets have 100 * intersection >= percent * union; component_id is
     the smallest doc_id reachable and kept marks the row that bears it. Links are confirmed on whole sets;
-    a pair at the threshold shares no band with a probability under 1e-8 at 85 and 2e-5 at 80 percent, and is estimated below the cut with 3e-5.
+    a pair at the threshold shares no band with a probability under 1e-8 at 85 and 2e-5 at 80 percent, and is
+    estimated below the cut with 1e-9.
 
     Defined cases: null, empty and blank texts have empty sets and are linked with nothing; rows that
     share a doc_id are one document; a row without doc_id counts after all ids, and a component of such
@@ -293,10 +294,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """`docs`, all its columns, less all but one row of each group of near_duplicates (the one of least id)."""
-    rows = only(docs, {"doc_id": "long", "text": "string"})
-    kept = _grouped(rows.select(_key(rows), "text"), percent).filter("key = component").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", _key(docs)).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """`docs`, all its columns, less all but one row of each group of linked texts (see near_duplicates; the one of
+    least id).
+
+    Defined cases: rows without words are linked with nothing and stay; equal rows are one, which stays once if its
+    group has no lesser id; of rows that share a doc_id but not the text each is a document of its own, the
+    one of least text hash bearing the id and the others coming after all ids, as rows without doc_id do;
+    an empty table gives no rows; texts of any length count whole.
+    """
+    names, word = docs.columns, F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string"))).withColumn("__key", _key(docs))
+    ids = rows.filter(word).select(F.col("doc_id").cast("long").alias("__id"), "__h").groupBy("__id").agg(F.min("__h").alias("__first"), F.max("__h").alias("__last"))
+    ids = ids.filter("__id is not null and __first < __last").drop("__last")
+    if ids.limit(1).count():
+        other = F.lit(NO_ID) + F.xxhash64("__id", "__h").bitwiseAND(F.lit(NO_ID - 1))
+        rows = rows.join(ids, F.col("doc_id").cast("long") == F.col("__id"), "left").withColumn("__key", F.when(F.col("__first") != F.col("__h"), other).otherwise(F.col("__key")))
+    named = rows.filter(word)
+    kept = _grouped(named.select(F.col("__key").alias("key"), "text"), percent).filter("key = component").select(F.col("key").alias("__key")).distinct()
+    first = named.join(kept, "__key", "left_semi").dropDuplicates(["__key"])
+    return first.unionByName(rows.filter(~word)).select(*(F.col(f"`{c}`") for c in names))
 
 
 def _key(docs: DataFrame):
