@@ -25,8 +25,8 @@ WORDS, BANDS, ROWS = 5, 40, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Rounds of stars at most (they end when under a hundredth of a star's pairs are links), and pairs for each row of the mixed buckets below which all pairs are compared.
 ROUNDS, FEW = 8, 4
-#: An estimate further below the threshold than so many of its standard deviations is no link (1 in 1,000,000,000).
-DEVIATIONS = 6.0
+#: An estimate further below the threshold than so many of its standard deviations is no link (3 in 100,000).
+DEVIATIONS = 4.0
 #: Keys at or above stand for rows without a doc_id.
 NO_ID = 1 << 62
 
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows are linked when their shingle sets have 100 * intersection >= percent * union; component_id is
     the smallest doc_id reachable and kept marks the row that bears it. Links are confirmed on whole sets;
     a pair at the threshold shares no band with a probability under 1e-8 at 85 and 2e-5 at 80 percent, and is
-    estimated below the cut with 1e-9.
+    estimated below the cut with 3e-5.
 
     Defined cases: null, empty and blank texts have empty sets and are linked with nothing; rows that
     share a doc_id are one document; a row without doc_id counts after all ids, and a component of such
