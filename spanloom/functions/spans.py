@@ -18,6 +18,13 @@ CITATIONS = (r"\bpatent\s+applications?\b", r"\bpatent\s+no\.?\b", r"\bpatent\s+
 PUBLICATION = r"(?i)\b(?:WO|EP|US|CN|JP|KR|DE|FR|GB|PCT)\s*(?:\d{4}/\d{4,8}|\d{6,12}(?:/\d{1,4})?)(?:\s*[A-Z]\d?)?\b"
 FIGURE = r"(?i)^(?:figure|fig\.?)(?:\s+[A-Za-z0-9][A-Za-z0-9.-]*)+$"
 AUTHOR = r"\b(?:[A-Z]\.){1,3}\s*[A-Z][a-z]+(?:[- ][A-Z][a-z]+)?\b"
+NUMBERS = (r"^[\d\s\-.,;:()%°/]+$", r"\d{1,2},\d{3},\d{3}", r"\b\d{7,}\b")
+SECTION_NAME, PATENT_NUMBER, DATABASES, WEEK = r"(?i)^section\s+[A-Z][A-Za-z]*(?:\s|$)", r"patent\s*no\.?", r"\b(derwent|espacenet|patent\s+central|world\s+patents)\b", r"\bweek\s+\d{4,8}\b"
+
+
+def _any(*patterns: str) -> str:
+    """One pattern for all, so that a text is searched and made ready once."""
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def is_header(c: Column) -> Column:
@@ -41,10 +48,7 @@ def is_bibliographic(c: Column, standalone: bool = False) -> Column:
 
 
 def is_citation(sentence: Column) -> Column:
-    out = F.lit(False)
-    for pattern in CITATIONS:
-        out = out | sentence.rlike("(?i)" + pattern)
-    return out
+    return sentence.rlike("(?i)" + _any(*CITATIONS))
 
 
 def is_good_span(c: Column, section: Column, standalone: bool = False) -> Column:
@@ -59,12 +63,8 @@ def is_good_span(c: Column, section: Column, standalone: bool = False) -> Column
     bad = is_header(s) | (F.char_length(c) < 3) | (F.char_length(c) > 100) | is_formula(s) | low.isin(*HARD_STOP)
     if not standalone:
         bad = bad | plain | generic
-    bad = bad | c.rlike(r"^[\d\s\-.,;:()%°/]+$") | c.rlike(r"\d{1,2},\d{3},\d{3}") | c.rlike(r"\b\d{7,}\b") | low.rlike(r"patent\s*no\.?")
-    bad = bad | c.rlike(PUBLICATION)
+    bad = bad | c.rlike(_any(*NUMBERS, PUBLICATION, SECTION_NAME)) | low.rlike(_any(PATENT_NUMBER, DATABASES, WEEK, *(rf"\Q{t}\E" for t in TEMPLATES)))
     bad = bad | s.rlike(FIGURE) | ((section == "invention") & is_bibliographic(c, standalone))
-    bad = bad | c.rlike(r"(?i)^section\s+[A-Z][A-Za-z]*(?:\s|$)") | low.rlike(r"\b(derwent|espacenet|patent\s+central|world\s+patents)\b") | low.rlike(r"\bweek\s+\d{4,8}\b")
-    for template in TEMPLATES:
-        bad = bad | F.contains(low, F.lit(template))
     return ~(bad | (stops > 0.6 * F.size(toks)))
 
 
@@ -119,3 +119,8 @@ def title_span(c: Column) -> Column:
     t = strip(c)
     lead = F.char_length(F.regexp_extract(c, r"(?U)^(\s*)", 1))
     return F.struct(lead.alias("start"), (lead + F.char_length(t)).alias("end"), t.alias("text"))
+
+
+def is_marker(raw: Column, canonical: Column) -> Column:
+    """A model's classification token, which is no span of the text: `cls` as canonical form, or [CLS]."""
+    return (canonical == "cls") | (raw == "[CLS]")

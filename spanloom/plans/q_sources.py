@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import encoding, metrics, sampling, tables
 from ..sources import corpora as C
+from ..sources import embeddings as E
 from .q_text import section_texts
 from .q_vectors import cells, centers, radii, top, vectors
 from .registry import fields, lines, passages, query, table
@@ -25,7 +26,9 @@ def jsonl(spark, d):
 
 @query(_F, "fields")
 def src1_jsonl_corpus(spark, d):
-    return C.parse_jsonl(jsonl(spark, d), entities=False)
+    path = f"{tables.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    jsonl(spark, d).select("line").write.text(path)
+    return C.read_jsonl(spark, path, entities=False)
 
 
 def epo(spark, d):
@@ -35,7 +38,10 @@ def epo(spark, d):
 
 @query("SELECT doc_id, trim(title) AS title, trim(abstract) AS abstract, trim(trim(claim) || chr(10) || 'more', ' ' || chr(10)) AS claim, trim(invention) AS invention FROM fields", "fields")
 def src2_epo_text(spark, d):
-    return C.parse_epo(epo(spark, d))
+    folder = f"{tables.shared_folder(spark)}/epo-{uuid.uuid4().hex}"
+    path = F.concat(F.lit(folder), F.lit("/"), (1980 + F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    E.write_files(epo(spark, d).select(path.alias("path"), "text"))
+    return C.read_epo(spark, folder, 1980, 1989).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @query("SELECT doc_id, year FROM (SELECT doc_id, year, row_number() OVER (PARTITION BY year ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY year) AS n, (SELECT count(*) FROM documents WHERE 1980 + doc_id % 10 BETWEEN 1982 AND 1985) AS total FROM (SELECT doc_id, (1980 + doc_id % 10)::INT AS year FROM documents) WHERE year BETWEEN 1982 AND 1985) WHERE r <= CASE WHEN total <= 50 THEN n ELSE 50 * n // total + CASE WHEN year - 1982 < 50 - 4 * (50 * n // total) THEN 1 ELSE 0 END END")
@@ -138,16 +144,32 @@ def src15_demo_qrels(spark, d):
     return C.passages_of(C.parse_xml(xml(spark, d))).join(t, "doc_id").select("query_id", "passage_id")
 
 
-@query("SELECT vec_id, 'org-m' AS model, 'noun_chunk' AS unit, CASE vec_id % 3 WHEN 0 THEN 'abstract' WHEN 1 THEN 'claim' ELSE 'invention' END AS section FROM embeddings")
-def src16_embedding_folders(spark, d):
-    section = F.element_at(F.array(*(F.lit(s) for s in ("abstract", "claim", "invention"))), (F.col("vec_id") % 3 + 1).cast("int"))
-    e = table(spark, d, "embeddings").select("vec_id", C.embedding_folder(F.concat(F.lit("/x/org-m_noun_chunk/"), section, F.lit("_noun_chunk.npy"))).alias("p"))
-    return e.select("vec_id", "p.model", "p.unit", "p.section")
+_SECTIONED = "s AS (SELECT vec_id, embedding, (vec_id % 3)::INT AS place FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY vec_id) - 1 AS i, row_number() OVER (ORDER BY place, vec_id) - 1 AS row FROM s)"
 
 
-@query("SELECT label, max_by(vec_id, vec_id * 7 % 101 * 1000 + vec_id) AS newest FROM embeddings GROUP BY 1")
+def embedding_files(spark, d):
+    """The vectors as a file a section, read back."""
+    folder = f"{tables.shared_folder(spark)}/embedding-files-{uuid.uuid4().hex}"
+    section = F.element_at(F.array(*(F.lit(x) for x in E.SECTIONS)), (F.col("vec_id") % 3 + 1).cast("int"))
+    E.write_embeddings(table(spark, d, "embeddings").select(section.alias("section"), F.col("vec_id").alias("i"), F.col("embedding").alias("v")), folder, "org-m", "noun_chunk")
+    return E.read_embeddings(spark, folder)
+
+
+@query(f"WITH {_SECTIONED} SELECT 'org-m' AS model, 'noun_chunk' AS unit, ['abstract', 'claim', 'invention'][place + 1] AS section, place, i, row, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM o")
+def src16_embedding_files(spark, d):
+    at = lambda k: F.round(F.get("v", F.lit(k)).cast("double"), 6)
+    return embedding_files(spark, d).select("model", "unit", "section", "place", "i", "row", at(0).alias("first"), at(63).alias("last"))
+
+
+@query("SELECT vec_id AS center_id FROM embeddings WHERE vec_id % 10 = 0")
 def src17_newest_centers(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.max_by("vec_id", F.col("vec_id") * 7 % 101 * 1000 + F.col("vec_id")).alias("newest"))
+    """Of three tables of centers the newest of the model and unit asked for, which is not the last by name."""
+    root = f"{tables.shared_folder(spark)}/found-{uuid.uuid4().hex}"
+    for k, (name, step) in enumerate((("centers_m_noun_chunk_b", 20), ("centers_m_noun_chunk_a", 10), ("centers_m_spacy_token_a", 5))):
+        centers(spark, d).filter(F.col("center_id") % step == 0).write.parquet(f"{root}/{name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(path, 1_700_000_000_000 + 60_000 * k, -1)
+    return spark.read.parquet(E.find_centers(spark, root, "m", "noun_chunk")).select("center_id")
 
 
 _CACHE = "SELECT doc_id::VARCHAR AS d, i::VARCHAR AS s, count(*) AS n FROM (SELECT doc_id, i, unnest(string_split(line, ' ')) AS w FROM lines) WHERE w <> '' GROUP BY ALL"
@@ -163,11 +185,12 @@ def src18_snk1_span_cache(spark, d):
     return C.read_span_cache(spark, path).filter(F.size("sp") > 0).select("d", "s", F.size("sp").cast("long").alias("n"))
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id BETWEEN 100 AND 160 OR vec_id IN (SELECT o_custkey FROM orders)")
+@query(f"WITH {_SECTIONED} SELECT row, section, round(x, 6) AS first FROM (SELECT row, ['abstract', 'claim', 'invention'][place + 1] AS section, embedding[1]::DOUBLE AS x FROM o) WHERE row BETWEEN 100 AND 179 OR row IN (SELECT o_custkey FROM orders)")
 def src19_rows_by_position(spark, d):
-    e = table(spark, d, "embeddings")
-    some = table(spark, d, "orders").select(F.col("o_custkey").alias("vec_id")).distinct()
-    return e.filter("vec_id between 100 and 160").select("vec_id", "label").unionByName(e.join(some, "vec_id", "left_semi").filter("vec_id not between 100 and 160").select("vec_id", "label"))
+    """A chunk of rows that runs over a section's end, and single rows."""
+    rows = embedding_files(spark, d)
+    some = E.at_rows(rows, table(spark, d, "orders").select(F.col("o_custkey").alias("row"))).filter("row not between 100 and 179")
+    return E.chunk(rows, 100, 180).unionByName(some.select(rows.columns)).select("row", "section", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"))
 
 
 # ---- sinks and caches ----------------------------------------------------------------------------------

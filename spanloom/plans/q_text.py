@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as P
 from ..functions import text as T
+from ..functions.stem import analysed_terms
 from ..operators import sampling
 from ..operators import scoring as S
 from .registry import fields, lines, query, table
@@ -303,9 +304,12 @@ def spn16_capped_spans(spark, d):
     return sampling.cap_per_group(rows, ["doc_id"], "key", 5).select("doc_id", "i", "w", "j")
 
 
-@query(W + " SELECT doc_id, i, count(*) AS n FROM words WHERE lower(w) <> 'the' GROUP BY ALL", L)
+@query(W + " SELECT doc_id, i, w, count(*) AS n FROM (SELECT * FROM words UNION ALL (SELECT doc_id, i, 'a-cls' AS w, 0 AS j FROM lines)) WHERE w <> '[CLS]' AND trim(regexp_replace(lower(w), '[^a-z0-9 /.+-]', ' ', 'g')) <> 'cls' GROUP BY ALL".replace("SELECT * FROM words", "SELECT doc_id, i, w, 0 AS j FROM words"), L)
 def spn17_without_marker_spans(spark, d):
-    return words(spark, d).filter(F.lower("w") != "the").groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("n"))
+    """Each line's words, with a classification token in three spellings and a word that only looks like one."""
+    more = lines(spark, d).select("doc_id", "i", F.explode(F.array(*(F.lit(x) for x in ("[CLS]", "cls", "(CLS)", "a-cls")))).alias("w"))
+    spans = words(spark, d).select("doc_id", "i", "w").unionByName(more)
+    return spans.filter(~P.is_marker(F.col("w"), T.canonical(F.col("w")))).groupBy("doc_id", "i", "w").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- lexical and learned-sparse models -----------------------------------------------------------------
@@ -329,6 +333,12 @@ def scr4_bm25(spark, d):
 _SPLADE = f"WITH {_TERMS}, q AS (SELECT query_id, term, round(ln(1 + count(*)), 6) AS w FROM qt GROUP BY ALL), p AS (SELECT passage_id, term, round(ln(1 + tf), 6) AS w FROM tf) "
 
 
+@query()
+def scr4_stemmed_bm25(spark, d):
+    """BM25 over words less stop words, stemmed."""
+    return S.bm25(analysed_terms(table(spark, d, "benchmark"), "item_id", "query_id"), analysed_terms(table(spark, d, "documents"), "doc_id", "passage_id"))
+
+
 def term_weights(spark, d):
     log = F.round(F.log1p(F.count(F.lit(1))), 6).alias("weight")
     q = terms(table(spark, d, "benchmark"), "item_id", "query_id").groupBy("query_id", F.col("term").alias("center_id")).agg(log)

@@ -16,8 +16,24 @@ XPATHS = "array<struct<xpath:string,text:string>>"
 # ---- JSON lines -------------------------------------------------------------------------------------
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, line): the lines of text files, numbered from 0 through files in order of name, whatever the partitions.
+
+    A line's number is that of its block of a file, from one count a block, and its place in the block, which
+    one task reads in order.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
+    blocks = sorted((r["f"], r["b"], r["first"], r["n"]) for r in rows.groupBy("f", "b").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n")).collect())  # one row a block
+    base, before = [], 0
+    for f, b, first, n in blocks:
+        base.append((f, b, before - first))
+        before += n
+    shift = spark.createDataFrame(base, "f string, b long, shift long")
+    return rows.join(F.broadcast(shift), ["f", "b"]).select((F.col("m") + F.col("shift")).alias("seq"), "line")
+
+
 def read_jsonl(spark: SparkSession, path: str, entities: bool = True) -> DataFrame:
-    return parse_jsonl(spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line")), entities)
+    return parse_jsonl(read_lines(spark, path), entities)
 
 
 def parse_jsonl(lines: DataFrame, entities: bool = True) -> DataFrame:
@@ -58,9 +74,13 @@ def read_epo(spark: SparkSession, folder: str, year_min: int | None = None, year
     """A folder of <year>/<id>.txt; only the years asked for are listed, and a cap is shared among years."""
     from ..operators import sampling
 
-    years = [y for y in range(year_min or 0, (year_max or 9999) + 1)] if year_min or year_max else None
-    paths = [f"{folder}/{{{','.join(map(str, years))}}}"] if years else [folder]
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(paths)
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = [s.getPath().getName() for s in top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)]
+    years = sorted(int(y) for y in listed if y.isdigit() and (year_min or 0) <= int(y) <= (year_max or 9999))
+    if not years:
+        return parse_epo(spark.createDataFrame([], "doc_id string, text string"))
+    paths = [f"{folder}/{y}" for y in years]
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     name = F.col("_metadata.file_path")
     files = files.select(F.regexp_extract(name, r"([^/]+)\.txt$", 1).alias("doc_id"), F.regexp_extract(name, r"/(\d+)/[^/]+$", 1).alias("year"), F.col("value").alias("text"))
     if max_docs is not None:

@@ -112,3 +112,97 @@ def test_entry_without_training_data_queries(monkeypatch):
     e = importlib.reload(e)
     assert "scr1_sparse_scores" in e.queries() and not any(n.startswith("op") or n == "pipeline" for n in e.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_stems():
+    """Pairs from the published description of the algorithm."""
+    from spanloom.functions.stem import stem
+
+    pairs = "consigned consign, consistency consist, consolations consol, consolatory consolatori, conspicuous conspicu, conspirators conspir, knackeries knackeri, knaves knave, knavish knavish, kneaded knead, generate generat, generally general, happy happi, hopping hop, hoping hope, relational relat, skies sky, news news, proceed proceed, ties tie, cries cri, gas gas, gaps gap, by by, say say, cry cri, controlling control, communication communic, feed feed, agreed agre, luxuriating luxuri, adjustment adjust, adoption adopt, roll roll"
+    assert {w: stem(w) for w, _ in map(str.split, pairs.split(","))} == dict(map(str.split, pairs.split(",")))
+
+
+def test_stemmed_bm25(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from spanloom.functions.stem import STOP, analysed_terms, stem
+    from spanloom.operators.scoring import bm25
+
+    queries = [(1, "Consigned knots, and the KNIGHTS"), (2, ""), (3, None)]
+    passages = [(10, "A knight consigns a knot."), (11, "knots knots knots of this"), (12, "nothing here"), (13, None)]
+    frames = [spark.createDataFrame(rows, "id long, text string") for rows in (queries, passages)]
+    got = {(r["query_id"], r["passage_id"]): r["score"] for r in bm25(analysed_terms(frames[0], "id", "query_id"), analysed_terms(frames[1], "id", "passage_id")).collect()}
+    terms = lambda t: [stem(w) for w in re.findall("[a-z0-9]+", (t or "").lower()) if w not in STOP]
+    held = {p: Counter(terms(t)) for p, t in passages if terms(t)}
+    mean, want = sum(map(Counter.total, held.values())) / len(held), {}
+    for q, text in queries:
+        for p, tf in held.items():
+            score = sum(math.log1p((len(held) - df + 0.5) / (df + 0.5)) * tf[w] / (tf[w] + 1.5 * (0.25 + 0.75 * tf.total() / mean)) for w in terms(text) if tf[w] for df in [sum(w in t for t in held.values())])
+            if score:
+                want[q, p] = round(score, 6)
+    assert got == pytest.approx(want)
+
+
+def test_unusable_vectors_take_no_part(spark):
+    from spanloom.operators import vectors as V
+
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, None), (3, [0.0, 0.0, 1.0, 0.0]), (4, [0.5, 0.5]), (5, [None, 1.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0, 0.0]), (7, [0.0, 0.9, 0.1, 0.0])]
+    spans = spark.createDataFrame(rows, "span_id long, v array<double>")
+    centers = spans.filter("span_id < 4").selectExpr("span_id as center_id", "v as center")
+    assert {(r["span_id"], r["center_id"]) for r in V.top_centers(spans, centers, 1).collect()} == {(0, 0), (1, 1), (3, 3), (7, 1)}
+    assert sorted(r["span_id"] for r in V.farthest_first(spans, 4).collect()) == [0, 1, 3, 7]
+
+
+@pytest.mark.parametrize(("batch", "room"), [(1, 64), (1, 1 << 20), (3, 1 << 10), (3, 1 << 20)])
+def test_farthest_first_whatever_the_candidates(spark, batch, room):
+    """Few candidates a round, or all points at once, choose the centers of the plain traversal."""
+    import hashlib
+
+    import numpy as np
+
+    from spanloom.operators import vectors as V
+
+    x = np.random.default_rng(4).normal(size=(80, 6))
+    got = [r["span_id"] for r in V.farthest_first(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "span_id long, v array<double>"), 20, batch, room).orderBy("position").collect()]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    chosen = [min(range(80), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())]
+    far = np.round(1 - x @ x[chosen[0]], 6)
+    while len(chosen) < 20:
+        far[chosen] = -1
+        new = sorted(range(80), key=lambda k: (-far[k], k))[: min(batch, 20 - len(chosen))]
+        chosen += new
+        far = np.minimum(far, np.round(1 - x @ x[new].T, 6).min(1))
+    assert got == chosen
+
+
+def test_lines_are_numbered_through_files(spark, tmp_path):
+    from spanloom.sources import corpora as C
+
+    for name, lines in (("b.txt", ['{"dnum": "7", "Content": {"title": "x"}}', "", '{"title": "y"}']), ("a.txt", ['{"title": "z"}', "{broken"])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    assert [r["seq"] for r in C.read_lines(spark, str(tmp_path)).orderBy("seq").collect()] == [0, 1, 2, 3, 4]
+    assert {(r["doc_id"], r["title"]) for r in C.read_jsonl(spark, str(tmp_path)).collect()} == {("doc_0", "z"), ("7", "x"), ("doc_4", "y")}
+
+
+def test_epo_years_and_embedding_files(spark, tmp_path):
+    import numpy as np
+
+    from spanloom.sources import corpora as C
+    from spanloom.sources import embeddings as E
+
+    for year in (1999, 2001, 2005):
+        (tmp_path / "t" / str(year)).mkdir(parents=True)
+        (tmp_path / "t" / str(year) / f"d{year}.txt").write_text(f"TITLE ::: t\nABSTR ::: a\nb {year}\n")
+    read = lambda *years: {r["doc_id"]: r["abstract"] for r in C.read_epo(spark, str(tmp_path / "t"), *years).collect()}
+    assert read(2000) == {"d2001": "a\nb 2001", "d2005": "a\nb 2005"} and read(None, 1999) == {"d1999": "a\nb 1999"} and read(2010, 2011) == {} and len(read()) == 3
+    folder = tmp_path / "e" / "m_noun_chunk"
+    folder.mkdir(parents=True)
+    x = np.arange(12, dtype=np.float16).reshape(4, 3)
+    np.save(folder / "claim_noun_chunk.npy", x)
+    np.savez(folder / "claim_noun_chunk.npz", x=x * 0)
+    np.savez(folder / "abstract_noun_chunk.npz", x=x[:2].astype(np.float32))
+    got = [(r["section"], r["i"], r["row"], r["v"]) for r in E.read_embeddings(spark, str(tmp_path / "e")).orderBy("row").collect()]
+    assert got == [("abstract", k, k, x[k].tolist()) for k in range(2)] + [("claim", k, k + 2, x[k].tolist()) for k in range(4)]
+
