@@ -122,7 +122,9 @@ def nest_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """Rows by turn to one JSON record a conversation, in order of turn, then role, then text.
 
     A conversation is one value (its digest needs all of it in order), so its size is bounded by what a
-    string holds. Nulls: turn sorts first, role becomes '', text becomes ''; a null id is one conversation.
+    string holds: 2**31 - 1 bytes of JSON; beyond that the job fails, rather than lose a turn. Nulls: turn sorts first,
+    role becomes '', text becomes ''; a null id is one conversation. Equal rows are turns each. An empty table gives
+    no records; other columns are ignored, whatever their names.
     """
     part = F.struct(F.col(turn).alias("k"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     turns = F.transform(F.array_sort(F.collect_list(part)), lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))
@@ -130,13 +132,15 @@ def nest_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def format_chats(records: DataFrame, template: Template = Template()) -> DataFrame:
-    """`formatted` and `loss_mask` for each record with known layout (see canonical_turns)."""
+    """`formatted` and `loss_mask` for each record with known layout (see canonical_turns); records without one
+    keep their row, with nulls. Other columns stay, but for `turns` and `record`; an empty table gives no rows."""
     out = canonical_turns(records)
     return out.withColumn("formatted", template.format(F.col("turns"))).withColumn("loss_mask", template.spans(F.col("turns"))).drop("turns", "record")
 
 
 def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """What is read back from `formatted` and `loss_mask` alone: counts and SHA-256 digests."""
+    """What is read back from `formatted` and `loss_mask` alone: counts and SHA-256 digests. A record without layout
+    keeps its conv_id, with nulls; an empty table gives no rows."""
     out = formatted.withColumn("__turns", template.parse(F.col("formatted"))).withColumn("__loss", template.masked(F.col("formatted"), F.col("loss_mask")))
     whole = F.array_join(F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

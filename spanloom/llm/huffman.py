@@ -154,7 +154,9 @@ def write_files(docs: DataFrame, path: str, end: int = 0, folder: str | None = N
     Each text is tokenized once into a stored table; its counts give the code, each document is encoded
     where it lies, and only bits are moved, to partitions cut at quantiles of doc_id, file `part` before
     file `part + 1`. Null ids come first; equal ids are ordered by a checksum of their stored token ids. A null text is
-    empty, so a document has at least the end id. Extra columns are ignored.
+    empty, so a document has at least the end id; equal rows are documents each. A text of any length that a string
+    holds is encoded whole, in as many blocks as it needs. An empty table gives no files, and reading none gives
+    no rows. Other columns are ignored.
     """
 
     from tokenizers import Tokenizer

@@ -3,11 +3,13 @@
 Both public vocabularies split a text at white space before they merge, so the ids of a text are those
 of its chunks, where a chunk starts at each run of white space. Chunks are found and told apart by array
 code, and the library encodes each distinct chunk once; a bounded memo keeps recent ones. Texts with
-Unicode spaces or a special token's opening go to the library whole.
+Unicode spaces or a special token's opening go to the library whole, and so do all texts of a vocabulary
+that is not known to part texts so (parts_at_marks looks at the file).
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
@@ -81,6 +83,20 @@ def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, at[hit], "right") - 1)
 
 
+#: How the public vocabularies make a text ready and part it, which is what chunks rely on.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORD_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_PARTS = {"type": "Sequence", "pretokenizers": [WORD_SPLIT, {**BYTE_LEVEL, "use_regex": False}]}
+
+
+def parts_at_marks(spec: dict) -> bool:
+    """Whether a vocabulary is known to part texts where chunks start; others get their texts whole."""
+    ready = (spec.get("normalizer"), spec.get("pre_tokenizer")) in ((None, BYTE_LEVEL), (WORD_NORMAL, WORD_PARTS))
+    plain = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("post_processor") is None
+    return ready and plain and all(t["special"] and t["content"].startswith("<|") for t in spec["added_tokens"])
+
+
 class Encoder:
     """ids of many texts; `wide` is the little-endian integer that holds an id."""
 
@@ -94,6 +110,7 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.wide = np.dtype("<u2" if self.size <= 65536 else "<u4")
         self.lower = '"Lowercase"' in self.tokenizer.to_str()
+        self.chunked = parts_at_marks(json.loads(self.tokenizer.to_str()))
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and "<|" in t.content]
         self.mark = special[-1] if special else None
         self.new: dict[bytes, bytes] = {}
@@ -142,6 +159,9 @@ class Encoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, self.wide), np.zeros(n + 1, np.int64)
+        if not self.chunked:
+            parts = self._library([data[a:z].tobytes().decode() for a, z in zip(offsets[:-1], offsets[1:], strict=True)])
+            return np.frombuffer(b"".join(parts), self.wide), np.concatenate(([0], np.cumsum([len(p) // self.wide.itemsize for p in parts]))).astype(np.int64)
         whole = data
         data = _LOWER[data] if self.lower else data
         cuts = chunk_cuts(data, offsets)

@@ -88,6 +88,18 @@ def test_long_texts_and_records(spark):
     assert (r["layout"], r["n_turns"], r["loss_chars"]) == ("turns", 1, 25_000_000)
 
 
+def test_chats_of_any_table(spark):
+    """Empty tables, columns with clashing names, repeated rows, layouts that no mapping has."""
+    schema = "conv_id long, turn long, role string, text string, turns string, record string, formatted int, layout string, k int"
+    read = lambda rows: chat.digests(chat.format_chats(chat.nest_turns(spark.createDataFrame(rows, schema)))).collect()
+    assert read([]) == []
+    (r,) = read([(1, 1, "assistant", "a", "x", "y", 3, "z", 4)] * 2)
+    assert (r["n_turns"], r["loss_chars"], r["layout"]) == (2, 2, "turns")
+    strange = ['{"messages": []}', '{"messages": [{"role": "user", "content": ["a", 1]}]}', '{"prompt": "p", "completion": "c", "name": "n"}']
+    got = chat.digests(chat.format_chats(spark.createDataFrame(list(enumerate(strange)), "conv_id long, record string"))).collect()
+    assert [r["n_turns"] for r in sorted(got)] == [None] * 3 and sorted(r["conv_id"] for r in got) == [0, 1, 2]
+
+
 def test_emptied_texts_keep_the_layout(spark):
     records = [r'{"prompt": "a\\", "completion": "\": {[}"}', '{"turns": [{"role": ":", "text": "}, {"}, {"role": "x", "text": ": \\" ,"}]}', r'{"prompt": "\q", "completion": "c"}', r'{"prom\\pt": "p", "completion": "c"}']
     got = chat.canonical_turns(spark.createDataFrame(list(enumerate(records)), "k int, record string")).orderBy("k").collect()

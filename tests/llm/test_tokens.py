@@ -23,6 +23,19 @@ def test_chunks_give_the_library_ids(texts, path):
         assert ids[ends[k] : ends[k + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_unknown_vocabularies_get_whole_texts(tmp_path):
+    """One that doesn't part texts at white space; chunks would give other ids."""
+    import json
+
+    spec = json.load(open(BYTE))
+    spec["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    enc, texts = tokens.Encoder(str(tmp_path / "v.json")), ["the cat, of the", "", "a  b\n\nc"]
+    assert not enc.chunked and tokens.encoder(BYTE).chunked and tokens.encoder(WORD).chunked
+    ids, ends = enc.encode(*tokens.flat(pa.array(texts)))
+    assert [ids[a:z].tolist() for a, z in zip(ends[:-1], ends[1:], strict=True)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=80), st.integers(7, 12))
 def test_code_lengths(counts, longest):
