@@ -421,12 +421,14 @@ def spn13_span_pooling(spark, d):
 
 @query()
 def spn14_cached_span_embeddings(spark, d):
-    return encoding.encode(tables.keep(encoding.spans_of(texts(spark, d), "noun_chunk"), "spans"))
+    t = texts(spark, d)
+    return encoding.embed_spans(tables.keep(encoding.spans_of(t, "noun_chunk"), "spans"), t)
 
 
 @query()
 def spn15_span_embeddings(spark, d):
-    return encoding.encode(encoding.spans_of(texts(spark, d, 32768), "encoder_token"))
+    t = texts(spark, d, 32768)
+    return encoding.embed_spans(encoding.spans_of(t, "encoder_token"), t)
 
 
 @query()
@@ -436,15 +438,17 @@ def spn18_embedding_job(spark, d):
 
 @query()
 def spn19_query_spans(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.explode(T.sentence_chunks(F.col("text"), 64)).alias("text")).withColumn("section", F.lit("claim"))
-    return encoding.encode(encoding.spans_of(q, "encoder_token"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(T.sentence_chunks(F.col("text"), 64)).alias("chunk", "text"))
+    q = q.select(F.concat_ws("/", "doc_id", "chunk").alias("doc_id"), F.lit("claim").alias("section"), "text")
+    return encoding.embed_spans(encoding.spans_of(q, "encoder_token"), q)
 
 
 @query()
 def spn20_passage_spans(spark, d):
     p = passages(spark, d)
     section = F.when(T.section_of(F.col("passage_id")) == "description", "invention").otherwise(T.section_of(F.col("passage_id")))
-    return encoding.encode(encoding.spans_of(p.select(F.col("passage_id").alias("doc_id"), section.alias("section"), "text"), "noun_chunk"))
+    t = p.select(F.col("passage_id").alias("doc_id"), section.alias("section"), "text")
+    return encoding.embed_spans(encoding.spans_of(t, "noun_chunk"), t)
 
 
 @query()
