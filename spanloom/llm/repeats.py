@@ -122,8 +122,9 @@ def segments(offsets: np.ndarray, length: int = LENGTH, most: int = SEGMENT) ->
 ANCHORS = "id long, th long, at int, starts int, lead int, fp long, c long"
 
 
-def _digest(x) -> int:
-    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+def _digests(view: memoryview, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a digest of each view[begin:end]."""
+    return np.frombuffer(b"".join([hashlib.blake2b(view[x:y], digest_size=8).digest() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]), "<i8")
 
 
 def anchors(rows: DataFrame, windows: Windows) -> DataFrame:
@@ -150,7 +151,7 @@ def anchors(rows: DataFrame, windows: Windows) -> DataFrame:
                 edge = np.append(begin[a:z], end[z - 1]) - begin[a]
                 k, at, starts, fp, lead = anchored(base, edge, length, gram)
                 low = edge[k] + at
-                c = np.fromiter((_digest(view[x:y]) for x, y in zip((low * wide).tolist(), ((low + starts + length - 1) * wide).tolist(), strict=True)), np.int64, len(low))
+                c = _digests(view, low * wide, (low + starts + length - 1) * wide)
                 doc = text[a + k]
                 at = at + begin[a + k] - offsets[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(fp), pa.array(c)], schema=schema)
@@ -178,34 +179,46 @@ def contexts(rows: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(0))
-            for k, wants in enumerate(b.column(1).to_pylist()):
+            wants = b.column(1).flatten()
+            many = np.diff(b.column(1).offsets.to_numpy()).tolist()
+            at, starts = wants.field("at").to_numpy(), wants.field("starts").to_numpy()
+            cuts, upto = [], 0
+            for k, n in enumerate(many):
                 text = data[offsets[k] : offsets[k + 1]]
-                view = memoryview(text)
+                low, high = at[upto : upto + n], at[upto : upto + n] + starts[upto : upto + n] + windows.size - 1
+                upto += n
                 if windows.words:
                     begin, end = word_bounds(text)
-                    cut = lambda at, n: b" ".join(bytes(view[begin[at] : end[at + n - 1]]).split()) + b" "  # noqa: B023, E731
+                    cuts += [b" ".join(text[x:y].tobytes().split()) + b" " for x, y in zip(begin[low].tolist(), end[high - 1].tolist(), strict=True)]
                 else:
-                    cut = lambda at, n: bytes(view[at : at + n])  # noqa: B023, E731
-                yield pa.RecordBatch.from_pylist([{"fp": w["fp"], "c": w["c"], "m": w["m"], "starts": w["starts"], "lead": w["lead"], "text": cut(w["at"], w["starts"] + windows.size - 1)} for w in wants], schema)
+                    cuts += [text[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(wants.field(c) for c in schema.names[:-1]), pa.array(cuts, pa.binary())], schema=schema)
 
     return rows.join(each, ["id", "th"]).select("text", "wants").mapInArrow(run, CONTEXTS)
 
 
+def _letters(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(a number from 2 on for each byte, or for each word by the order in which words first occur, number of them in
+    each text). 0 and 1 are left for the end and the gaps; 0xFE and 0xFF never occur in UTF-8."""
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    if not windows.words:
+        return data + np.uint8(2), sizes
+    ends = np.flatnonzero(data == 32)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends + 1)), pa.py_buffer(data)]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64) + 2, np.diff(np.searchsorted(ends, np.append(0, np.cumsum(sizes))))
+
+
 def repeated_starts(texts: list[bytes], starts: np.ndarray, copies: np.ndarray, windows: Windows = Windows(LENGTH)) -> list[np.ndarray]:
     """For each context, its windows that occur at least twice among all contexts' windows, a context's windows
     counting `copies` times."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    begin = np.cumsum(sizes) - sizes
-    s = np.frombuffer(b"\xff".join(texts) + b"\xff\xfe", np.uint8)
-    own = [b + windows.edges(s[b : b + n - 1], k)[0] for b, n, k in zip(begin.tolist(), sizes.tolist(), starts.tolist(), strict=True)]
-    if windows.words:  # as many bytes as lie before the end of the last word of a window from each place
-        blanks = np.append(np.flatnonzero(s == 32), np.full(windows.size, 2 * len(s)))
-        reach = blanks[np.searchsorted(blanks[: len(blanks) - windows.size], np.arange(len(s))) + windows.size - 1] + 1 - np.arange(len(s))
-    else:
-        reach = np.full(len(s), windows.size)
-    s = np.where(s == 0xFF, 1, np.where(s == 0xFE, 0, s + np.uint8(2))).astype(np.uint8)  # 0xFE and 0xFF never occur in UTF-8
+    letters, sizes = _letters(texts, windows)
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    own = [np.arange(b, b + k) for b, k in zip(begin.tolist(), starts.tolist(), strict=True)]
+    s, inner = np.ones(int(sizes.sum()) + len(texts) + 1, letters.dtype), np.ones(int(sizes.sum()) + len(texts) + 1, bool)
+    inner[begin + sizes] = inner[-1] = False
+    s[inner], s[-1] = letters, 0
     sa = suffix_array(s)
-    common = permuted_prefixes(s, sa, int(sizes.max()) + 8, begin)[sa] >= reach[sa]
+    common = permuted_prefixes(s, sa, int(sizes.max()) + 8, begin)[sa] >= windows.size
     weight = np.zeros(len(s), np.int64)
     weight[np.concatenate(own)] = np.repeat(copies, starts)
     common[0] = False

@@ -173,7 +173,7 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, breaks: np.ndarr
     """Common prefix of each suffix (by place in the text) with its predecessor in `sa`, up to `most`.
 
     Where the characters before a suffix and its predecessor agree, the value is the previous one less 1;
-    only the other, irreducible, values are found by comparison, eight characters at a time. Values at
+    only the other, irreducible, values are found by comparison, eight bytes at a time. Values at
     `breaks` are compared too, so that the cut at `most` does not carry over from one part to the next.
     """
     n = len(s)
@@ -185,16 +185,18 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, breaks: np.ndarr
     if breaks is not None:
         reducible[breaks] = False
     hard = np.flatnonzero(~reducible & (before >= 0))
-    bytes8 = np.concatenate((s.astype(np.uint8), np.zeros(most + 16, np.uint8)))
-    wide = np.lib.stride_tricks.sliding_window_view(bytes8, 8).copy().view("<u8")[:, 0]
+    kind = np.dtype("<u1" if s.max() < 256 else "<u4")
+    step, bits = 8 // kind.itemsize, 8 * kind.itemsize
+    padded = np.concatenate((s.astype(kind), np.zeros(most + 16, kind)))
+    wide = np.lib.stride_tricks.sliding_window_view(padded, step).copy().view("<u8")[:, 0]
     value, a, b, live, k = np.zeros(n, np.int64), hard, before[hard], np.arange(len(hard)), 0
     got = np.full(len(hard), most, np.int64)
     while len(live) and k < most:
         x = wide[np.minimum(a[live] + k, len(wide) - 1)] ^ wide[np.minimum(b[live] + k, len(wide) - 1)]
         stop = x != 0
         low = x[stop] & (~x[stop] + np.uint64(1))
-        got[live[stop]] = np.minimum(most, k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3))
-        live, k = live[~stop], k + 8
+        got[live[stop]] = np.minimum(most, k + np.log2(low.astype(np.float64)).astype(np.int64) // bits)
+        live, k = live[~stop], k + step
     value[hard] = got
     source = np.maximum.accumulate(np.where(reducible, 0, at))
     return np.where(reducible, np.maximum(value[source] - (at - source), 0), value)
