@@ -98,6 +98,27 @@ def test_suffix_arrays(text, times):
         assert got[i] == n
 
 
+def test_suffix_arrays_of_many_letters():
+    rng = np.random.default_rng(5)
+    piece = rng.integers(1, 3000, 60)
+    s = np.concatenate((piece, rng.integers(1, 3000, 200), piece[5:], [300], np.full(20, 256), piece, [0]))
+    sa = suffixes.suffix_array(s)
+    assert (sa == sorted(range(len(s)), key=lambda k: s[k:].tolist())).all()
+    got = suffixes.permuted_prefixes(s, sa, 1000)
+    for i, j in zip(sa[1:], sa[:-1], strict=True):
+        n = 0
+        while i + n < len(s) and j + n < len(s) and s[i + n] == s[j + n]:
+            n += 1
+        assert got[i] == n
+
+
+def test_repeated_windows_of_words():
+    windows = repeats.Windows(3, True)
+    texts = [b"a b c d ", "é b c d e ".encode(), b"x y z ", b"ab c d e "]
+    got = repeats.repeated_starts(texts, np.array([2, 3, 1, 2]), np.array([1, 1, 2, 1]), windows)
+    assert [g.tolist() for g in got] == [[1], [1, 2], [0], [1]]
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
