@@ -153,12 +153,12 @@ def _greedy(ids: np.ndarray, x: np.ndarray, far: np.ndarray, floor: float, room:
     return chosen
 
 
-def farthest_first(points: DataFrame, n_centers: int, batch: int = 1, candidates_bytes: int = 64 << 20) -> DataFrame:
+def farthest_first(points: DataFrame, n_centers: int, batch: int = 1, pool_bytes: int = 64 << 20) -> DataFrame:
     """(position, span_id): Gonzalez traversal from the point of least id hash; each step adds the `batch`
     points farthest from all chosen ones (ties: smaller id).
 
     Distances to the nearest center are kept in a stored table. A round brings the farthest points, up to
-    `candidates_bytes` of them, to the driver, which goes on choosing among these for as long as their distances
+    `pool_bytes` of them, to the driver, which goes on choosing among these for as long as their distances
     exceed all others'; then the chosen ones update the table. A step that finds no such candidates takes
     the first of them, as a round of one step would.
     """
@@ -170,7 +170,7 @@ def farthest_first(points: DataFrame, n_centers: int, batch: int = 1, candidates
     n = points.count()
     if n < n_centers:
         raise ValueError(f"{n_centers} centers from {n} points")
-    most = max(4 * batch, candidates_bytes // max(8 * d, 1))
+    most = max(4 * batch, pool_bytes // max(8 * d, 1))
     spark, chosen, last = points.sparkSession, [start["span_id"]], np.array([start["v"]])
     last = last / np.maximum(np.linalg.norm(last, axis=1), 1e-12)[:, None]
     taken, far = [start["span_id"]], points.select("span_id", "v", F.lit(9.0).alias("far"))
