@@ -24,11 +24,13 @@ def corpus_statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, in
     """(documents with each id, documents, tokens) of the whole corpus; `size` rows are collected at most."""
 
     def count(batches):
-        df, docs, total = np.zeros(size, np.int64), 0, 0
+        df, docs, total, last = np.zeros(size, np.int64), 0, 0, np.empty(size, np.int64)
         for b in batches:
             for ids in b.column(0):
-                x = np.frombuffer(ids.as_buffer(), "<u2" if size <= 65536 else "<u4")
-                df[np.unique(x)] += 1
+                x = np.frombuffer(ids.as_buffer(), "<u2" if size <= 65536 else "<u4").astype(np.int64)
+                here = np.arange(len(x))
+                last[x] = here  # one place of each distinct id
+                df[x[last[x] == here]] += 1
                 docs, total = docs + 1, total + len(x)
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"id": np.concatenate((k, [-1, -2])), "n": np.concatenate((df[k], [docs, total]))}, pa.schema([("id", pa.int64()), ("n", pa.int64())]))

@@ -36,6 +36,53 @@ def test_unknown_vocabularies_get_whole_texts(tmp_path):
     assert [ids[a:z].tolist() for a, z in zip(ends[:-1], ends[1:], strict=True)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+LATIN = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]))
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_of_latin_letters_reach_the_model_alone(path):
+    """Only other chunks are normalized and parted again; the ids stay the library's."""
+    enc, asked = tokens.Encoder(path), []
+    whole, enc._chunks = enc._chunks, lambda chunks: asked.extend(chunks) or whole(chunks)
+    texts = [" ".join(LATIN), " ".join(a + LATIN[-k:] for k, a in enumerate(LATIN, 1)), "e\u0301 a\u00d7b \u00b5m Stra\u00dfe \u0130x \tt \u00c9 12 don't", "x" * 60 + " " + "\u00c9" * 12]
+    for _ in range(2):
+        ids, ends = enc.encode(*tokens.flat(pa.array(texts)))
+        assert [ids[a:z].tolist() for a, z in zip(ends[:-1], ends[1:], strict=True)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and not any(c.strip() and all(x.isalpha() and x in LATIN for x in c.removeprefix(" ")) for c in asked)
+    assert len(asked) == len(set(asked))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text("abc", max_size=3), unique=True, max_size=9), max_size=12))
+def test_memo_holds_what_was_used_last(steps):
+    """Equal strings alone are found, with their ids; where it is full, strings of the last step stay."""
+    memo, ids = tokens.Memo(np.dtype("<u2"), 16), {}
+    for step in [["a", "ab", "a\0"], *steps]:
+        data, ends = tokens.flat(pa.array(step, pa.string()))
+        keys = tokens.short_keys(data, ends[:-1], np.diff(ends))
+        entry = memo.find(keys)
+        for w, e in zip(step, entry, strict=True):
+            assert e < 0 or memo.ids[memo.first[e] : memo.first[e] + memo.size[e]].tolist() == ids[w]
+        new = np.flatnonzero(entry < 0)
+        for k in new:
+            ids[step[k]] = [len(ids) + 1] * (len(ids) % 4)
+        made = [ids[step[k]] for k in new]
+        memo.add(keys[:, new], np.array([len(x) for x in made], np.int64), np.array(sum(made, []), "<u2"))
+        assert memo.n <= 16 and (memo.find(keys) >= 0).sum() >= min(len(step), 8)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text(LATIN, min_size=1, max_size=9), max_size=30).map(" ".join), min_size=1, max_size=8), st.sampled_from([BYTE, WORD]))
+def test_a_full_memo_changes_no_ids(texts, path):
+    enc = tokens.encoder(path)
+    held, enc.memo = enc.memo, tokens.Memo(enc.wide, 16)
+    try:
+        for t in texts:
+            assert enc.encode(*tokens.flat(pa.array([t])))[0].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    finally:
+        enc.memo = held
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=80), st.integers(7, 12))
 def test_code_lengths(counts, longest):
@@ -80,6 +127,13 @@ def test_huffman_files(spark, docs, rows, none):
     assert huffman.read_files(spark, *huffman.write_files(none, BYTE)).count() == 0
 
 
+def test_statistics_count_a_document_once(spark):
+    raw = [[5, 5, 7], [], [7], [5, 9, 9, 5]]
+    table = spark.createDataFrame([(np.array(x, "<u2").tobytes(),) for x in raw], "ids binary").repartition(2)
+    df, n, total = packing.corpus_statistics(table, 12)
+    assert df.tolist() == [0, 0, 0, 0, 0, 2, 0, 2, 0, 1, 0, 0] and (n, total) == (4, 8)
+
+
 def test_packing(docs, rows, none):
     got = packing.pack(docs, WORD, window=256, ids=True).collect()
     want = expected(rows, WORD, 2)
