@@ -115,6 +115,19 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_many_distinct_words_are_encoded_once():
+    """700,000 words, as many as a worker meets in a few batches of op6: none goes to the library a second time."""
+    enc, asked = tokens.Encoder(BYTE), []
+    words, enc._words = enc._words, lambda chunks: asked.append(len(chunks)) or words(chunks)
+    letters = np.arange(97, 123, dtype=np.uint8)
+    k = np.arange(700_000)
+    text = np.stack([np.full(len(k), 32, np.uint8), *(letters[k // 26**p % 26] for p in range(5))], 1)
+    parts = [tokens.flat(pa.array([text[a : a + 100_000].tobytes().decode()])) for a in range(0, len(k), 100_000)]
+    first = [enc.encode(*p)[0].tolist() for p in parts]
+    assert sum(asked) == len(k)
+    assert [enc.encode(*p)[0].tolist() for p in parts] == first and sum(asked) == len(k)
+
+
 def test_huffman_files(spark, docs, rows, none):
     files, lengths = huffman.write_files(docs, BYTE)
     got = sorted(huffman.read_files(spark, files, lengths, ids=True).collect(), key=lambda r: r["start"])
