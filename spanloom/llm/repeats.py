@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,33 +209,42 @@ def _letters(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.ndarr
     return words.indices.to_numpy().astype(np.int64) + 2, np.diff(np.searchsorted(ends, np.append(0, np.cumsum(sizes))))
 
 
-def repeated_starts(texts: list[bytes], starts: np.ndarray, copies: np.ndarray, windows: Windows = Windows(LENGTH)) -> list[np.ndarray]:
-    """For each context, its windows that occur at least twice among all contexts' windows, a context's windows
-    counting `copies` times."""
+def repeated_windows(texts: list[bytes], starts: np.ndarray, copies: np.ndarray, windows: Windows = Windows(LENGTH)) -> tuple[np.ndarray, np.ndarray]:
+    """(context, window) in order, of the windows that occur at least twice among all contexts' windows, a context's
+    windows counting `copies` times."""
     letters, sizes = _letters(texts, windows)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    own = [np.arange(b, b + k) for b, k in zip(begin.tolist(), starts.tolist(), strict=True)]
+    context = np.repeat(np.arange(len(texts)), starts)
+    window = np.arange(len(context)) - np.repeat(np.cumsum(starts) - starts, starts)
     s, inner = np.ones(int(sizes.sum()) + len(texts) + 1, letters.dtype), np.ones(int(sizes.sum()) + len(texts) + 1, bool)
     inner[begin + sizes] = inner[-1] = False
     s[inner], s[-1] = letters, 0
     sa = suffix_array(s)
     common = permuted_prefixes(s, sa, int(sizes.max()) + 8, begin)[sa] >= windows.size
-    weight = np.zeros(len(s), np.int64)
-    weight[np.concatenate(own)] = np.repeat(copies, starts)
+    weight, place = np.zeros(len(s), np.int64), begin[context] + window
+    weight[place] = copies[context]
     common[0] = False
     first = np.flatnonzero(~common)
     total = np.add.reduceat(weight[sa], first)
     twice = np.zeros(len(s), bool)
     twice[sa] = np.repeat(total >= 2, np.diff(np.append(first, len(s))))
-    return [np.flatnonzero(twice[o]) for o in own]
+    hit = twice[place]
+    return context[hit], window[hit]
+
 
+def repeated_starts(texts: list[bytes], starts: np.ndarray, copies: np.ndarray, windows: Windows = Windows(LENGTH)) -> list[np.ndarray]:
+    """The repeated windows of each context."""
+    context, window = repeated_windows(texts, starts, copies, windows)
+    return np.split(window, np.searchsorted(context, np.arange(1, len(texts))))
 
-def _runs(starts: np.ndarray) -> list[int]:
-    """[first, last, first, last, ...] of runs of consecutive starts."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) != 1)
-    return np.stack((starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]), 1).ravel().tolist()
+
+def _runs(context: np.ndarray, window: np.ndarray, many: int) -> pa.ListArray:
+    """For each of `many` contexts, [first, last, first, last, ...] of runs of consecutive windows."""
+    key = context << 32 | window  # windows are counted by 32 bits
+    first = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+    runs = np.stack((window[first], window[np.append(first[1:], len(key))[: len(first)] - 1]), 1)
+    ends = 2 * np.searchsorted(context[first], np.arange(many + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(runs.ravel(), pa.int32()))
 
 
 FOUND = "fp long, c long, runs array<int>"
@@ -261,8 +271,8 @@ def sorted_shards(texts: DataFrame, windows: Windows, shard: int = SHARD) -> Dat
 
     def run(batches):
         def close(held):
-            got = repeated_starts([h[5] for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]), windows)
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([_runs(g) for g in got], pa.list_(pa.int32()))], schema=_FOUND)
+            got = repeated_windows([h[5] for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]), windows)
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), _runs(*got, len(held))], schema=_FOUND)
 
         def groups():
             group = []
@@ -310,15 +320,22 @@ def counted_windows(texts: DataFrame, windows: Windows) -> DataFrame:
     return back.select("fp", "c", F.flatten(F.transform("ats", lambda x: F.array(x, x))).alias("runs"))
 
 
-def _spans(found: list[dict] | None, size: int) -> np.ndarray:
-    """Merged [begin, end) spans, in bytes or words, of a text's repeated windows."""
-    spans = np.array([(f["at"] + f["runs"][k], f["at"] + f["runs"][k + 1] + size) for f in found or () for k in range(0, len(f["runs"]), 2)], np.int64).reshape(-1, 2)
-    if not len(spans):
-        return spans
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    far = np.maximum.accumulate(spans[:, 1])
-    first = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > far[:-1])))
-    return np.stack((spans[first, 0], far[np.append(first[1:] - 1, len(spans) - 1)]), 1)
+def _spans(found: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(merged [begin, end) spans, in bytes or words, of the repeated windows of a batch of texts; spans before each
+    text). `found` holds a list of (at, runs) for each text, or null."""
+    each, many = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy()
+    runs = each.field("runs")
+    pairs = runs.flatten().to_numpy().astype(np.int64).reshape(-1, 2)
+    times = pc.list_value_length(runs).to_numpy() // 2
+    text = np.repeat(np.repeat(np.arange(len(found)), many), times) << 32  # places are 32 bits wide, so texts stay apart
+    at = np.repeat(each.field("at").to_numpy().astype(np.int64), times) + text
+    begin, end = at + pairs[:, 0], at + pairs[:, 1] + size
+    by = np.argsort(begin, kind="stable")
+    begin, far = begin[by], np.maximum.accumulate(end[by])
+    first = np.flatnonzero(np.concatenate(([True], begin[1:] > far[:-1]))) if len(begin) else np.zeros(0, np.int64)
+    spans = np.stack((begin[first], far[np.append(first[1:], len(far))[: len(first)] - 1]), 1)
+    upto = np.searchsorted(spans[:, 0], np.arange(len(found) + 1) << 32)
+    return spans - (spans[:, :1] >> 32 << 32), upto
 
 
 def _found_spans(rows: DataFrame, windows: Windows) -> DataFrame:
@@ -343,16 +360,15 @@ def _keyed(docs: DataFrame) -> tuple:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th")
 
 
-def _kept(text: np.ndarray, found: list[dict] | None, windows: Windows) -> tuple[bytes, int]:
-    """(what stays of a text, number of removed spans). With a span of words goes the white space after it."""
-    cut = _spans(found, windows.size)
+def _kept(text: np.ndarray, cut: np.ndarray, windows: Windows) -> bytes:
+    """What stays of a text. With a span of words goes the white space after it."""
     if not len(cut):
-        return text.tobytes(), 0
+        return text.tobytes()
     if windows.words:
         begin, end = word_bounds(text)
         cut = np.append(begin, end[-1])[cut]
     edges = np.concatenate(([0], cut.ravel(), [len(text)])).reshape(-1, 2)
-    return b"".join(text[x:y].tobytes() for x, y in edges.tolist()), len(cut)
+    return b"".join(text[x:y].tobytes() for x, y in edges.tolist())
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
@@ -375,9 +391,9 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = Non
         for b in batches:
             data, offsets = flat(b.column(here))
             real = b.column(here).is_valid().to_pylist()
+            cuts, upto = _spans(b.column(len(names)), windows.size)
             for i, j in steps(offsets, 4 << 20):
-                found = b.column(len(names)).slice(i, j - i).to_pylist()
-                texts = [_kept(data[offsets[k] : offsets[k + 1]], f, windows)[0].decode(errors="ignore") if real[k] else None for k, f in zip(range(i, j), found, strict=True)]
+                texts = [_kept(data[offsets[k] : offsets[k + 1]], cuts[upto[k] : upto[k + 1]], windows).decode(errors="ignore") if real[k] else None for k in range(i, j)]
                 cols = [pa.array(texts, pa.string()) if k == here else b.column(k).slice(i, j - i) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         trim()
@@ -411,15 +427,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fal
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(1))
-            out = []
-            for k, (got, more) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                text = data[offsets[k] : offsets[k + 1]]
-                kept, cuts = _kept(text, got, windows)
-                runs = _spans(more, passages.size)
-                out.append((len(text), len(text) - len(kept), cuts, hashlib.sha256(kept).hexdigest(), len(runs), int((runs[:, 1] - runs[:, 0]).sum()), kept if keep_bytes else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            ids = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == -(2**63) else i for i in ids], pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(fields)[1:], strict=True))], schema=fields)
+            cuts, upto = _spans(b.column(2), windows.size)
+            runs, more = _spans(b.column(3), passages.size)
+            gone, in_runs = (np.concatenate(([0], np.cumsum(x[:, 1] - x[:, 0]))) for x in (cuts, runs))
+            kept = [_kept(data[offsets[k] : offsets[k + 1]], cuts[upto[k] : upto[k + 1]], windows) for k in range(b.num_rows)]
+            sums = [hashlib.sha256(x).hexdigest() for x in kept]
+            ids = b.column(0)
+            none = pa.array(ids.to_numpy() == -(2**63))
+            counts = (np.diff(offsets), np.diff(gone[upto]), np.diff(upto), sums, np.diff(more), np.diff(in_runs[more]), kept if keep_bytes else [None] * len(kept))
+            yield pa.RecordBatch.from_arrays([pc.if_else(none, pa.scalar(None, pa.int64()), ids), *(pa.array(c, f.type) for c, f in zip(counts, list(fields)[1:], strict=True))], schema=fields)
 
     met = rows.join(_found_spans(rows, windows), ["id", "th"], "left")
     if words:

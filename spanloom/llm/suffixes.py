@@ -9,13 +9,13 @@ WAVES = 1024
 
 
 def _types(s: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next one; equal neighbours take the type of what follows."""
+    """True where a suffix is smaller than the next one; equal neighbours take the type of what follows. The last
+    two letters differ."""
     n = len(s)
     out = np.ones(n, bool)
     if n > 1:
         differs = np.flatnonzero(s[:-1] != s[1:])
-        nxt = differs[np.searchsorted(differs, np.arange(n - 1))]
-        out[:-1] = s[nxt] < s[nxt + 1]
+        out[:-1] = np.repeat(s[differs] < s[differs + 1], np.diff(differs, prepend=-1))
     return out
 
 

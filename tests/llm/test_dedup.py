@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +120,29 @@ def test_repeated_windows_of_words():
     assert [g.tolist() for g in got] == [[1], [1, 2], [0], [1]]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.lists(st.tuples(st.integers(0, 40), st.lists(st.integers(0, 30), unique=True, max_size=8)), max_size=4), max_size=6), st.integers(1, 6))
+def test_spans_of_a_batch(texts, size):
+    """The contexts' windows of all texts of a batch, put into runs and merged at once, cover what each window covers."""
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("runs", pa.list_(pa.int32()))]))
+    found, want = [None], [[]]
+    for t in texts:
+        windows = [np.array(sorted(w), np.int64) for _, w in t or ()]
+        runs = repeats._runs(np.repeat(np.arange(len(windows)), [len(w) for w in windows]), np.concatenate([np.zeros(0, np.int64), *windows]), len(windows)).to_pylist()
+        for w, r in zip(windows, runs, strict=True):
+            assert [k for a, z in zip(r[::2], r[1::2], strict=True) for k in range(a, z + 1)] == w.tolist()
+            assert all(z + 1 < a for z, a in zip(r[1::2], r[2::2], strict=False))
+        found.append(None if t is None else [{"at": a, "runs": r} for (a, _), r in zip(t, runs, strict=True)])
+        covered = np.zeros(100, int)
+        for a, w in t or ():
+            for k in w:
+                covered[a + k : a + k + size] = 1
+        edges = np.flatnonzero(np.diff(covered, prepend=0, append=0))
+        want.append(edges.reshape(-1, 2).tolist())
+    spans, upto = repeats._spans(pa.array(found, kind).slice(1), size)
+    assert [spans[a:z].tolist() for a, z in zip(upto[:-1], upto[1:], strict=True)] == want[1:]
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
