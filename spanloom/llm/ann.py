@@ -1,5 +1,9 @@
 """Approximate nearest neighbours: inverted lists of coarse centroids, product-quantised residuals,
-asymmetric distance tables and exact reranking, for the largest inner product."""
+asymmetric distance tables and exact reranking, for the largest inner product.
+
+A residual is kept in two parts: its length along the list's centroid, exact, and what is across, quantised, with
+the length of the quantisation's error. So the tables bound every row of a list from above, and a row is left out
+only if its bound is below rows already scored: within the lists visited nothing is lost, whatever the vectors."""
 
 from __future__ import annotations
 
@@ -29,19 +33,19 @@ class Settings:
     sample_rows: int = 20_000
     recall: float = 0.97
     sample_queries: int = 128
-    shortlist: int = 200
     seed: int = 5
 
 
 @dataclass(frozen=True)
 class Index:
-    """What is sent to every task: centroids (augmented), codebooks [parts, codes, width], list sizes.
+    """What is sent to every task: centroids (augmented), codebooks [parts, codes, width], list sizes and spreads.
     Its size is bounded by most_lists, codes and the vectors' dimension."""
 
     centroids: np.ndarray
     books: np.ndarray
     norm: float
     sizes: np.ndarray
+    spread: np.ndarray
     settings: Settings
 
 
@@ -62,8 +66,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out, half = np.empty(len(x), np.int64), (centres**2).sum(1) / 2
-    for k in range(0, len(x), 4096):
-        out[k : k + 4096] = np.argmax(x[k : k + 4096] @ centres.T - half, 1)
+    step = max(64, (8 << 20) // len(centres))  # 64 MB of products
+    for k in range(0, len(x), step):
+        out[k : k + step] = np.argmax(x[k : k + step] @ centres.T - half, 1)
     return out
 
 
@@ -92,8 +97,16 @@ def _split(x: np.ndarray, parts: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
 
 
+def _across(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals against each row's centroid: their lengths along its direction, and what is left across."""
+    rest = x - centroids
+    toward = centroids / np.maximum(np.sqrt((centroids**2).sum(1)), 1e-300)[:, None]
+    along = (rest * toward).sum(1)
+    return along, rest - along[:, None] * toward
+
+
 def build(vectors: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, Index | None]:
-    """(stored rows (vec_id, list, codes, v), index) over all usable vectors; None for no vectors."""
+    """(stored rows (vec_id, list, codes, along, error, v), index) over all usable vectors; None for no vectors."""
     norms = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     if not norms["n"]:
         return vectors, None
@@ -104,7 +117,7 @@ def build(vectors: DataFrame, settings: Settings = Settings()) -> tuple[DataFram
     centroids = _kmeans(augment(x, norm), lists, rng)
     # residuals are quantised in units of their list's spread, so that a list of near copies is told apart too
     own = _nearest(augment(x, norm), centroids)
-    rest = x - centroids[own, :-1]
+    _, rest = _across(x, centroids[own, :-1])
     power, count = np.bincount(own, (rest**2).sum(1), len(centroids)), np.bincount(own, minlength=len(centroids))
     spread = np.sqrt(np.where(power > 0, power / np.maximum(count, 1), max(power.sum() / max(count.sum(), 1), 1e-12)))
     rest = _split(rest / spread[own, None], settings.parts)
@@ -117,20 +130,23 @@ def build(vectors: DataFrame, settings: Settings = Settings()) -> tuple[DataFram
 
     def run(batches):
         centroids, books, norm, spread = shared.value
-        schema = pa.schema([("vec_id", pa.int64()), ("list", pa.int32()), ("codes", pa.binary()), ("v", pa.list_(pa.float64()))])
+        schema = pa.schema([("vec_id", pa.int64()), ("list", pa.int32()), ("codes", pa.binary()), ("along", pa.float64()), ("error", pa.float64()), ("v", pa.list_(pa.float64()))])
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1))
                 own = _nearest(augment(x, norm), centroids)
-                rest = _split((x - centroids[own, :-1]) / spread[own, None], parts)
-                codes = np.stack([_nearest(rest[:, p], books[p]) for p in range(parts)], 1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], schema=schema)
-
-    rows = store(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, list int, codes binary, v array<double>"), "ivf")
+                along, rest = _across(x, centroids[own, :-1])
+                rest = _split(rest / spread[own, None], parts)
+                codes = np.stack([_nearest(rest[:, p], books[p]) for p in range(parts)], 1)
+                error = np.sqrt(((rest - books[np.arange(parts), codes]) ** 2).sum((1, 2))) * spread[own]
+                codes = codes.astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(along), pa.array(error), b.column(1)], schema=schema)
+
+    rows = store(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, list int, codes binary, along double, error double, v array<double>"), "ivf")
     sizes = np.zeros(len(centroids), np.int64)
     for r in rows.groupBy("list").count().collect():  # one row a list
         sizes[r["list"]] = r["count"]
-    return rows, Index(centroids, books, norm, sizes, settings)
+    return rows, Index(centroids, books, norm, sizes, spread, settings)
 
 
 def visiting_order(q: np.ndarray, index: Index) -> np.ndarray:
@@ -171,8 +187,9 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, top: int) -> DataF
 
     A query goes to the lists nearest to it, and to further ones while they hold too few rows. A list is
     split into blocks of about BLOCK rows and a task holds one block, with queries streaming by. In a
-    block the distance tables order all rows, the first `shortlist` are scored on the original vectors,
-    and the best `top` of them leave the block. Ties go to the smaller vec_id.
+    block the distance tables estimate all rows and bound them from above. The first `top` by estimate are scored on
+    the original vectors, then all rows whose bound reaches the least of these, and the best `top` leave the
+    block. Ties go to the smaller vec_id.
     """
     shared, visits = queries.sparkSession.sparkContext.broadcast(index), needed_visits(queries, rows, index, top)
 
@@ -181,35 +198,54 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, top: int) -> DataF
         schema = pa.schema([("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("lists", pa.list_(pa.int32()))])
         for b in batches:
             if b.num_rows:
-                order = visiting_order(_matrix(b.column(1)), i)
-                have = np.cumsum(i.sizes[order], 1)
-                upto = np.maximum(visits, np.minimum((have < top + 1).sum(1) + 1, len(i.centroids)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([o[:u].astype(np.int32) for o, u in zip(order, upto, strict=True)], pa.list_(pa.int32()))], schema=schema)
+                step = max(64, (2 << 20) // len(i.centroids))  # an order of 16 MB at a time
+                for k in range(0, b.num_rows, step):
+                    part = b.slice(k, step)
+                    order = visiting_order(_matrix(part.column(1)), i)
+                    have = np.cumsum(i.sizes[order], 1)
+                    upto = np.maximum(visits, np.minimum((have < top + 1).sum(1) + 1, len(i.centroids)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([o[:u].astype(np.int32) for o, u in zip(order, upto, strict=True)], pa.list_(pa.int32()))], schema=schema)
 
     blocks = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    data = rows.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), F.col("vec_id").alias("id"), "codes", "v")
+    data = rows.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), F.col("vec_id").alias("id"), "codes", "along", "error", "v")
     asked = queries.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(probe, "query_id long, v array<double>, lists array<int>").withColumn("list", F.explode("lists"))
     asked = asked.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = asked.select("list", "block", F.lit(1).alias("role"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("codes"), "v")
+    asked = asked.select("list", "block", F.lit(1).alias("role"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("along"), F.lit(None).cast("double").alias("error"), "v")
 
     def run(batches):
         i = shared.value
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        key, ids, codes, held = None, [], [], []
-        vectors = None
+        key, held, vectors = None, [], None
+        ids = codes = along = error = longest = None
 
         def score(q_ids, q):
-            table = np.einsum("qpw,pcw->qpc", _split(q, i.settings.parts), i.books)
-            near = sum(table[:, p, codes[:, p]] for p in range(i.settings.parts))
+            parts, at = i.settings.parts, key[0]
+            centroid, spread = i.centroids[at, :-1], i.spread[at]
+            toward = centroid / max(np.sqrt((centroid**2).sum()), 1e-300)
+            straight = q @ toward
+            side = q - straight[:, None] * toward
+            table = np.einsum("qpw,pcw->qpc", _split(side, parts), i.books)
+            near = (q @ centroid)[:, None] + straight[:, None] * along + spread * sum(table[:, p, codes[:, p]] for p in range(parts))
+            length = np.sqrt((q**2).sum(1))
+            slack = 1e-9 * length * longest  # far above rounding
+            bound = near + np.sqrt((side**2).sum(1))[:, None] * error + slack[:, None]
             own = ids[None, :] == q_ids[:, None]
-            near[own] = -np.inf
-            short = np.sort(np.argsort(-near, 1, kind="stable")[:, : i.settings.shortlist], 1)  # ids ascend within a block
-            exact = (vectors[short] * q[:, None, :]).sum(2)
-            best = np.argsort(-exact, 1, kind="stable")[:, :top]
-            found, value = ids[np.take_along_axis(short, best, 1)], np.take_along_axis(exact, best, 1)
-            query = np.broadcast_to(q_ids[:, None], found.shape)
-            real = found != query
-            return pa.RecordBatch.from_arrays([pa.array(query[real]), pa.array(found[real]), pa.array(value[real])], schema=schema)
+            near[own] = bound[own] = -np.inf
+            some = min(top, len(ids))
+            first = np.argpartition(-near, some - 1, 1)[:, :some]
+            least = np.where(np.take_along_axis(own, first, 1), -np.inf, (vectors[first] * q[:, None, :]).sum(2)).min(1)
+            open_ = ~(bound < least[:, None]) & ~own
+            rows = np.flatnonzero(open_.any(0))
+            value = np.where(open_[:, rows], q @ vectors[rows].T, -np.inf)
+            if len(rows) > top:  # products of equal vectors may differ in their last digit, so equals are kept until they are summed alike
+                value[value < np.partition(value, -top, 1)[:, -top, None] - slack[:, None]] = -np.inf
+            which, place = np.nonzero(value > -np.inf)
+            place = rows[place]
+            exact = np.concatenate([(vectors[place[k : k + 16384]] * q[which[k : k + 16384]]).sum(1) for k in range(0, len(place), 16384)] or [np.zeros(0)])
+            by = np.lexsort((ids[place], -exact, which))
+            which, place, exact = which[by], place[by], exact[by]
+            best = np.arange(len(which)) - np.searchsorted(which, which) < top
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[which[best]]), pa.array(ids[place[best]]), pa.array(exact[best])], schema=schema)
 
         for b in batches:
             place = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
@@ -222,11 +258,12 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, top: int) -> DataF
                 if place[k][:2] != key:
                     key, held, vectors = place[k][:2], [], None
                 if place[k][2] == 0:
-                    held.append((part.column(3).to_numpy(), np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(j - k, -1), _matrix(part.column(5))))
+                    held.append((part.column(3).to_numpy(), np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(j - k, -1), part.column(5).to_numpy(), part.column(6).to_numpy(), _matrix(part.column(7))))
                 elif held:
                     if vectors is None:
-                        ids, codes, vectors = (np.concatenate(c) for c in zip(*held, strict=True))
-                    yield score(part.column(3).to_numpy(), _matrix(part.column(5)))
+                        ids, codes, along, error, vectors = (np.concatenate(c) for c in zip(*held, strict=True))
+                        longest = np.sqrt((vectors**2).sum(1).max())
+                    yield score(part.column(3).to_numpy(), _matrix(part.column(7)))
                 k = j
 
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))

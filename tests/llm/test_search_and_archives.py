@@ -79,3 +79,15 @@ def test_few_vectors(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(a, b) for a in (0, 20, 40) for b in (0, 20, 40) if a != b]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), 20, 20).count() == 0
     assert ann.nearest(spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<double>"), 20, 20).count() == 0
+
+
+def test_neighbours_in_tight_clusters(spark):
+    """Rows whose differences are small beside their length: codes alone do not tell them apart, and no list may lose any."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3, 64))[np.arange(3000) % 3] + 0.02 * rng.normal(size=(3000, 64))
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100, 20, ann.Settings(lists=3, parts=4, codes=16, recall=1.0)).collect()
+    score = x[::100] @ x.T
+    score[np.arange(30), np.arange(0, 3000, 100)] = -np.inf
+    want = {(100 * q, r + 1, int(i)) for q, near in enumerate(np.argsort(-score, 1)[:, :20]) for r, i in enumerate(near)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want
