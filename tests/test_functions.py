@@ -33,6 +33,21 @@ def test_canonical(spark, given, want):
     assert one(spark, given, T.canonical) == want
 
 
+@pytest.mark.parametrize(("given", "want"), [("x" + " the an" * 20_000, "x"), ("the any " * 20_000 + "y", "y"), ("x" + " a this" * 20_000 + " y", "x" + " a this" * 20_000 + " y"), ("thesis an any-a an", "thesis an any-a")])
+def test_canonical_of_long_runs(spark, given, want):
+    """A greedy group recursed once a word, and the stack's end took the executor with it."""
+    assert one(spark, given, T.canonical) == want
+
+
+def test_long_lists_and_runs(spark):
+    numbers = ", ".join(map(str, range(1, 20_001)))
+    assert one(spark, f"a ({numbers}) b", T.drop_reference_numerals) == "a b"
+    assert one(spark, f"claims {numbers}", lambda x: F.size(T.claim_references(x, F.lit(30_000), F.lit(30_000)))) == 20_000
+    assert one(spark, "FIELD " * 20_000 + "of", T.strip_capitals)["text"] == "of"
+    assert one(spark, "x" + " " * 50_000 + "y ", T.strip) == "x" + " " * 50_000 + "y"
+    assert one(spark, "fig. " + "2 " * 20_000, lambda x: P.is_good_span(x, F.lit("claim"))) is False
+
+
 def test_entities(spark):
     assert one(spark, "a &amp;amp; b &lt;i&gt;", T.decode_entities) == "a & b <i>" and one(spark, None, T.decode_entities) is None
 
