@@ -96,3 +96,17 @@ def test_visible_tokens_only(spark):
     read = lambda **o: {r["text"] for r in encoding.embed_spans(spans, texts, **o).collect()}
     assert read() == {"a bb", "ccc", "dddd"} and read(most_tokens=2, how="max") == {"a bb"}
 
+
+
+def small(tmp_path, spark, *texts):
+    """A folder of tables whose `documents` hold these texts, and what DuckDB reads of it."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return str(tmp_path), con
+
+
+def test_claims_beyond_the_thousandth(spark, tmp_path):
+    d, con = small(tmp_path, spark, "\n".join(["x"] * 1100))
+    got = QUERIES["txt12_claim_references"](spark, d).select("doc_id", "i", "out").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["txt12_claim_references"]).fetchall())
