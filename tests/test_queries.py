@@ -110,3 +110,13 @@ def test_claims_beyond_the_thousandth(spark, tmp_path):
     d, con = small(tmp_path, spark, "\n".join(["x"] * 1100))
     got = QUERIES["txt12_claim_references"](spark, d).select("doc_id", "i", "out").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["txt12_claim_references"]).fetchall())
+
+
+def test_sections_of_blank_titles_and_abstracts(spark, tmp_path):
+    from spanloom.functions import text as T
+
+    d, con = small(tmp_path, spark, "", " \n \nclaim", "title", "\nabstract")
+    f = q_text.F
+    got = QUERIES["txt19_formatted_sections"](spark, d).select("doc_id", "a", "c", "p", "i").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["txt19_formatted_sections"]).fetchall())
+    assert spark.range(1).select(T.format_section(f.lit("abstract"), f.lit("no_section_markers"), f.lit(" "), f.lit(None))).first()[0] == ""
