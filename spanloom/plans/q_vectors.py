@@ -194,7 +194,8 @@ def vec9_quantization(spark, d):
 
 @query("SELECT center_id, j, round(x / sqrt(sum(x * x) OVER (PARTITION BY center_id)), 6) AS x FROM (SELECT center_id, j, avg(x) AS x FROM (SELECT center_id, unnest(v) AS x, unnest(range(len(v)))::INT AS j FROM cells JOIN unit ON vec_id = span_id) GROUP BY ALL)", "unit near cells")
 def vec10_refined_centers(spark, d):
-    c = V.refine(vectors(spark, d), cells(spark, d), centers(spark, d)).join(cells(spark, d).select("center_id").distinct(), "center_id", "left_semi")
+    own = keep(cells(spark, d), "cells")
+    c = V.refine(vectors(spark, d), own, centers(spark, d)).join(own.select("center_id").distinct(), "center_id", "left_semi")
     return c.select("center_id", F.posexplode("center").alias("j", "x")).select("center_id", "j", six("x"))
 
 

@@ -257,3 +257,21 @@ def test_similarities_are_all_pairs(spark):
     key = lambda rows: sorted((r["span_id"], r["center_id"], r["sim"]) for r in rows)
     assert key(V.similarities(spans, centers).collect()) == key(V.top_centers(spans, centers, 5).collect())
     assert V.similarities(spans, centers).count() == 35 and V.similarities(spans, centers.limit(0)).count() == 0
+
+
+def test_refined_centers_add_whole_vectors(spark):
+    """The mean of each cell's unit vectors; an empty cell stays; no vector is taken apart into a row a component."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, cell = rng.normal(size=(1500, 6)), rng.integers(0, 700, 1500)
+    spans = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(9999, None)], "span_id long, v array<double>").repartition(7)
+    own = spark.createDataFrame([(k, int(c)) for k, c in enumerate(cell)], "span_id long, center_id long")
+    centers = spark.createDataFrame([(k, [1.0] + [0.0] * 5) for k in range(701)], "center_id long, center array<double>")
+    out = V.refine(spans, own, centers)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, u = {r["center_id"]: r["center"] for r in out.collect()}, V._unit_rows(x)
+    assert len(got) == 701 and got[700] == [1.0, 0, 0, 0, 0, 0]
+    for k in set(cell.tolist()):
+        m = u[cell == k].mean(0)
+        assert np.allclose(got[k], m / np.linalg.norm(m), atol=1e-12)
