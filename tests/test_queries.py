@@ -120,3 +120,24 @@ def test_sections_of_blank_titles_and_abstracts(spark, tmp_path):
     got = QUERIES["txt19_formatted_sections"](spark, d).select("doc_id", "a", "c", "p", "i").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["txt19_formatted_sections"]).fetchall())
     assert spark.range(1).select(T.format_section(f.lit("abstract"), f.lit("no_section_markers"), f.lit(" "), f.lit(None))).first()[0] == ""
+
+
+def test_spans_stay_beside_their_text(spark, sf):
+    """A text went along with each of its words, and spans and texts were shuffled: the disk held its square."""
+    from spanloom.operators import encoding
+
+    texts = q_sources.texts(spark, sf, 32768)
+    for rows in (encoding.spans_of(texts), encoding.embed_texts(texts, "encoder_token"), encoding.embed_texts(texts, "noun_chunk")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Join", "Aggregate")) and plan.count("Repartition") == 1
+
+
+@pytest.mark.parametrize("most", [1, 50, 301])
+def test_budget_takes_the_first_drawn(spark, sf, most):
+    from spanloom.operators import encoding, sampling
+
+    f, texts = q_text.F, q_sources.texts(spark, sf)
+    rows = encoding.spans_of(texts).withColumn("key", f.concat_ws("/", "doc_id", "section", "start", "end"))
+    want = sampling.by_budget(rows, "section", "key", sampling.budgets_equal(dict(sorted(sampling.counts(rows, "section").items())), most))
+    key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "section", "start", "end", "text").collect())
+    assert len(key(want)) == most and key(encoding.embed_corpus(texts, most=most)) == key(want)
